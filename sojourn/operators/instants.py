@@ -65,14 +65,16 @@ _PARTS = ("y", "mo", "d", "h", "mi", "s", "frac", "ap", "off", "zone", "week", "
 
 
 def _pieces(text: Column) -> Column:
-    """Struct of the parts (strings, '' where not written) by the first form that fits, else null."""
-    chain = None
-    for form in FORMS:
+    """Array of the parts in the order of ``_PARTS`` ('' where not written) by the first form that fits, else null.
+
+    Each form rewrites the text to its parts with bars between them, so that one expression serves all parts.
+    """
+    chain = F.lit(None).cast("string")
+    for form in reversed(FORMS):
         at = {p: i + 1 for i, p in enumerate(form.parts)}
-        made = F.struct(*[(F.regexp_extract(text, form.pattern, at[p]) if p in at else F.lit("")).alias(p) for p in _PARTS])
-        fits = text.rlike(form.pattern)
-        chain = F.when(fits, made) if chain is None else chain.when(fits, made)
-    return chain
+        parts = "|".join(f"${at[p]}" if p in at else "" for p in _PARTS)
+        chain = F.when(text.rlike(form.pattern), F.regexp_replace(text, form.pattern + ".*", parts)).otherwise(chain)
+    return F.split(chain, r"\|", -1)
 
 
 def _num(c: Column) -> Column:
@@ -157,7 +159,7 @@ def to_instants(df: DataFrame, text: str, reference: str | None = None, zone: st
     year_first_ok = F.try_to_date(F.when(day_first != "", clean), "yyyyMMdd")
     swapped = F.when((day_first != "") & ~F.coalesce(F.year(year_first_ok).between(first_year, last_year), F.lit(False)), F.regexp_replace(clean, _DAY_FIRST, "$3-$2-$1")).otherwise(clean)
     base = df.drop("instant", "instant_status", "instant_wall_us").withColumn("__p", _pieces(swapped))
-    p = {x: F.col(f"__p.{x}") for x in _PARTS}
+    p = {x: F.get("__p", F.lit(i)) for i, x in enumerate(_PARTS)}
     names = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
     month = F.coalesce(_num(p["mo"]), F.try_element_at(names, F.lower(p["mo"])))
     day, day_end = _num(p["d"]), _num(p["d_end"])
