@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.session import cut
+from sojourn.operators.ranks import values_at_ranks
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -32,22 +32,11 @@ def percentiles_of_counts(counts: DataFrame, groups: list[str], value: str, perc
     The rank error is zero, on merged summaries as well; what is given is always a value that occurs. An empty table
     gives no group.
 
-    The counts are range-sorted by group and value, so a group with most of the values lies over many partitions.
-    Within each partition running sums give the cumulative frequency, to which the group's total in the partitions
-    before is added; there is one such total per group and partition. The sorted counts are written to the shared
-    folder first: the totals and the sums must see the same partitions.
+    See ``values_at_ranks``: group-value counts are range-sorted, partition offsets are added to window running sums,
+    and the first values that reach the target ranks are picked.
     """
-    key = F.struct(*groups).alias("key")
-    slim = counts.select(key, F.col(value).alias("v"), "n")
-    placed = cut(slim.repartitionByRange("key", "v").withColumn("part", F.spark_partition_id()))
-    totals = placed.groupBy("key", "part").agg(F.sum("n").alias("here"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("key", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("offset"), F.sum("here").over(Window.partitionBy("key")).alias("total"))
-    running = F.sum("n").over(Window.partitionBy("key", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    reached = placed.join(offsets, ["key", "part"]).withColumn("upto", F.col("offset") + running)
-    hits = [F.min(F.when(F.col("upto") >= _rank(F.col("total"), p), F.col("v"))).alias(f"p{p}") for p in percents]
-    out = reached.groupBy("key").agg(F.max("total").alias("n"), *hits)
-    return out.select(*[F.col("key").getField(g).alias(g) for g in groups], "n", *[f"p{p}" for p in percents])
+    ranks = {f"p{p}": (lambda total, p=p: _rank(total, p)) for p in percents}
+    return values_at_ranks(counts, groups, value, ranks).withColumnRenamed("total", "n")
 
 
 def price_percentiles(prices: DataFrame, offers: DataFrame, groups: list[str], percents: tuple[int, ...] = (10, 50, 90, 99)) -> DataFrame:
