@@ -154,7 +154,7 @@ def to_instants(df: DataFrame, text: str, reference: str | None = None, zone: st
     """
     first_year, last_year = years
     spark = df.sparkSession
-    clean = F.trim(F.regexp_replace(df[text].cast("string"), r"[\s    ]+", " "))
+    clean = F.trim(F.regexp_replace(df[text].cast("string"), r"(?U)\s+", " "))
     day_first = F.regexp_extract(clean, _DAY_FIRST, 0)
     year_first_ok = F.try_to_date(F.when(day_first != "", clean), "yyyyMMdd")
     swapped = F.when((day_first != "") & ~F.coalesce(F.year(year_first_ok).between(first_year, last_year), F.lit(False)), F.regexp_replace(clean, _DAY_FIRST, "$3-$2-$1")).otherwise(clean)

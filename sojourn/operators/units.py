@@ -18,7 +18,7 @@ COUNT_WORDS = {
     "jeden": 1, "jedna": 1, "jedno": 1, "dva": 2, "dvě": 2, "tři": 3, "čtyři": 4, "pět": 5, "šest": 6, "sedm": 7, "osm": 8,
 }
 
-_SPACE = r"[\s    ]+"
+_SPACE = r"(?U)\s+"
 #: The longest spelling first, so that "tis. kč" isn't read as "kč"; letters must not go on before or after.
 _UNIT = "(?<![\\p{L}])(" + "|".join(sorted((a.replace(".", r"\.").replace("$", r"\$") for a, _, _ in UNIT_ALIASES), key=lambda a: -len(a))) + ")(?![\\p{L}])"
 _AMOUNT = r"\d(?:[\d .,]*\d)?"
