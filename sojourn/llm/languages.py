@@ -107,6 +107,24 @@ def _sums(weights: np.ndarray, texts: list[str], s: Settings) -> np.ndarray:
     return out
 
 
+def _kernel(texts: list[str], slots: np.ndarray, size: np.ndarray, s: Settings) -> np.ndarray:
+    """Kernel of texts and landmarks (their grams one after the other), by way of the landmarks of each gram."""
+    marks = len(size)
+    order = np.argsort(slots, kind="stable")
+    owner = np.repeat(np.arange(marks), size)[order]
+    first = np.searchsorted(slots[order], np.arange(s.width + 1))
+    out = np.zeros((len(texts), marks))
+    for k in range(0, len(texts), 256):
+        grams, _, here = presence(texts[k : k + 256], s)
+        count = first[grams + 1] - first[grams]
+        total = np.cumsum(count)
+        at = np.repeat(first[grams] - (total - count), count) + np.arange(count.sum())
+        row = np.repeat(np.repeat(np.arange(len(here)), here), count)
+        common = np.bincount(row * marks + owner[at], minlength=len(here) * marks).reshape(len(here), marks)
+        out[k : k + len(here)] = common / np.sqrt(np.maximum(here, 1)[:, None] * np.maximum(size, 1)[None, :])
+    return out
+
+
 def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.ndarray:
     """Weights ``(width, languages)`` such that the score of a text is its presence row times them.
 
@@ -142,16 +160,17 @@ def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.nda
         x = [lines[i] for i in some] + [without_accents(lines[i]) for i in some]
         target = np.concatenate([at[some], at[some]])
         chosen = rng.permutation(len(x))[: s.landmarks]
-        slots, first, size = presence([x[i] for i in chosen], s)
-        basis = np.zeros((s.width, len(chosen)), np.float32)
-        basis[slots, np.repeat(np.arange(len(chosen)), size)] = np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)
-        kernel = np.vstack([_sums(basis, x[i : i + 256], s) for i in range(0, len(x), 256)]).astype(np.float64)
+        slots, _, size = presence([x[i] for i in chosen], s)
+        kernel = _kernel(x, slots, size, s)
         signs = np.where(target[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
         # Every language weighs the same, however many sentences it has.
         share = np.sqrt(1 / np.maximum(np.bincount(target, minlength=len(LANGUAGES)), 1))[target][:, None]
         landmarks = kernel[chosen]
-        a = np.linalg.solve((kernel * share).T @ (kernel * share) + s.ridge / len(chosen) * (landmarks + landmarks.T) / 2 + 1e-8 * np.eye(len(chosen)), (kernel * share).T @ (signs * share))
-        weights = (basis @ a.astype(np.float32)).astype(np.float32)
+        kernel *= share
+        a = np.linalg.solve(kernel.T @ kernel + s.ridge / len(chosen) * (landmarks + landmarks.T) / 2 + 1e-8 * np.eye(len(chosen)), kernel.T @ (signs * share))
+        weights = np.zeros((s.width, len(LANGUAGES)), np.float32)
+        of = np.repeat(np.arange(len(chosen)), size)
+        np.add.at(weights, slots, (a[of] / np.sqrt(size[of])[:, None]).astype(np.float32))
     return weights
 
 
