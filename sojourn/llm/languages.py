@@ -136,11 +136,10 @@ def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.nda
     rng = np.random.default_rng(7)
     votes: dict[str, np.ndarray] = {}
     for text, label in zip(texts, labels, strict=True):
-        for line in (text or "").split("\n"):
-            for sentence in sentences(line):
-                words = letters(sentence)
-                if len(words) >= 20:
-                    votes.setdefault(words, np.zeros(len(LANGUAGES), int))[LANGUAGES.index(label)] += 1
+        phrases = {letters(sentence) for line in (text or "").split("\n") for sentence in sentences(line)}
+        for words in sorted(phrases):  # a document votes once for a phrase
+            if 20 <= len(words) <= 2000:
+                votes.setdefault(words, np.zeros(len(LANGUAGES), int))[LANGUAGES.index(label)] += 1
     # Set phrases count once, under the label that most of their documents have.
     lines = list(votes)
     y = [int(v.argmax()) for v in votes.values()]
