@@ -33,12 +33,13 @@ class Settings:
 
     docs: int = 1000
     sentences: int = 2000
-    landmarks: int = 800
+    landmarks: int = 1000
     grams: tuple[int, ...] = (2, 3, 4)
     width: int = 1 << 18
-    ridge: float = 0.05
+    ridge: float = 0.005
     #: A sentence speaks for itself only if it leads by so much and has so many letters; others go with their document.
-    lead: float = 0.25
+    #: Below 30 letters the lead must be larger, by 0.03 for each that is missing.
+    lead: float = 0.15
     letters: int = 16
 
 
@@ -125,6 +126,11 @@ def _kernel(texts: list[str], slots: np.ndarray, size: np.ndarray, s: Settings)
     return out
 
 
+def _frequent(which: np.ndarray, often: np.ndarray, limit: int) -> np.ndarray:
+    """At most ``limit`` of ``which``: those that occur five times and more first, then the others as they come."""
+    return which[np.argsort(-(often[which] >= 5).astype(int), kind="stable")][:limit]
+
+
 def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.ndarray:
     """Weights ``(width, languages)`` such that the score of a text is its presence row times them.
 
@@ -143,6 +149,7 @@ def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.nda
     # Set phrases count once, under the label that most of their documents have.
     lines = list(votes)
     y = [int(v.argmax()) for v in votes.values()]
+    often = np.array([int(v.max()) for v in votes.values()])
     weights = np.zeros((s.width, len(LANGUAGES)), np.float32)
     if not lines:
         return weights
@@ -153,12 +160,12 @@ def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.nda
             keep = np.flatnonzero(agree)
         else:
             keep = np.arange(len(lines))
-        some = np.concatenate([rng.permutation(keep[at[keep] == k])[: s.sentences] for k in range(len(LANGUAGES))]).astype(int)
+        some = np.concatenate([_frequent(rng.permutation(keep[at[keep] == k]), often, s.sentences) for k in range(len(LANGUAGES))]).astype(int)
         if not len(some):
             break
         x = [lines[i] for i in some] + [without_accents(lines[i]) for i in some]
         target = np.concatenate([at[some], at[some]])
-        chosen = rng.permutation(len(x))[: s.landmarks]
+        chosen = _frequent(rng.permutation(len(x)), np.concatenate([often[some], often[some]]), s.landmarks)
         slots, _, size = presence([x[i] for i in chosen], s)
         kernel = _kernel(x, slots, size, s)
         signs = np.where(target[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
@@ -200,7 +207,7 @@ def segments(texts: list[str], weights: np.ndarray, s: Settings) -> Iterator[tup
     owner, line_no = np.array(owner), np.array(line_no)
     cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     for a, z in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
-        sure = (lead[a:z] >= s.lead) & (size[a:z] >= s.letters)
+        sure = (lead[a:z] >= s.lead + 0.03 * np.maximum(30 - size[a:z], 0)) & (size[a:z] >= s.letters)
         letters_of = np.zeros(len(LANGUAGES))
         np.add.at(letters_of, best[a:z][sure], size[a:z][sure])
         whole = (scores[a:z] * size[a:z, None]).sum(0)
