@@ -30,11 +30,11 @@ def leave_out_median(df: DataFrame, bucket: list[str], match: str, id_: str, val
     groups = twin_minimum(df, bucket, match, id_, value)
     counts = groups.groupBy(*bucket, value).agg(F.count(F.lit(1)).alias("n"))
     low, high = lambda t: F.floor(t / 2), lambda t: F.floor((t - 1) / 2) + 1  # places of the middle of t - 1 values
-    middle = values_at_ranks(counts, bucket, value, {"a": lambda t: F.greatest(low(t), F.lit(1)), "a1": lambda t: low(t) + 1, "b": high, "b1": lambda t: high(t) + 1})
+    middle = values_at_ranks(counts, bucket, value, {"__low": lambda t: F.greatest(low(t), F.lit(1)), "__low_next": lambda t: low(t) + 1, "__high": high, "__high_next": lambda t: high(t) + 1})
     own = _join_null_safe(df.select(id_, *bucket, twin_key(df[match], df[id_]).alias("twins")), groups.select(*bucket, "twins", F.col(value).alias("own")), [*bucket, "twins"], "inner")
     joined = _join_null_safe(own, middle, bucket, "inner")
-    left = F.when(F.col("own") > F.col("a"), F.col("a")).otherwise(F.col("a1"))
-    right = F.when(F.col("own") > F.col("b"), F.col("b")).otherwise(F.col("b1"))
+    left = F.when(F.col("own") > F.col("__low"), F.col("__low")).otherwise(F.col("__low_next"))
+    right = F.when(F.col("own") > F.col("__high"), F.col("__high")).otherwise(F.col("__high_next"))
     peers = F.col("total") - 1
     return joined.select(id_, peers.alias("peers"), F.when(peers >= least, (left + right) / 2).alias("median"))
 
