@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.functions import normalize as N
+from sojourn.operators import criteria as C
 from sojourn.operators import history as H
 from sojourn.operators import peers as P
 from sojourn.session import table
@@ -135,7 +136,25 @@ def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
     return H.streaks(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error", 1)
 
 
-QUERIES = {f.__name__: f for f in (identity_keys, normal_names, raw_labels, raw_dates, latest_price, own_baseline, sparkline, price_moves, heartbeat_rows, representatives, market_median, locality_median, hotel_median, reference_ladder, facet_counts, first_fetched, failure_streaks)}
+def visible_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Offers not departed and not of two excluded countries."""
+    excluded = spark.createDataFrame([("Egypt",), ("Malta",)], "country string")
+    return C.visible(_offers(spark, d), excluded, F.lit(NOW)).select("id", "country", "departure_date")
+
+
+def criteria_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Offers that meet each of three criteria, and their median price."""
+    criteria = spark.createDataFrame([("sea", ["Řecko", "Turecko", "Kypr"], ["AI", "HB"], [6, 7, 8], "flight", None, None), ("soon", [], [], [], None, 14, None), ("cheap", [], [], [], None, None, 9000)], "name string, countries array<string>, boards array<string>, months array<int>, transport string, within_days int, most int")
+    met = C.meet_criteria(_priced(spark, d), criteria, F.lit(NOW))
+    return met.groupBy("name").agg(F.count(F.lit(1)).alias("offers"), F.median("price").alias("median"))
+
+
+def history_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of each offer's prices."""
+    return C.history_stats(_prices(spark, d), "offer_id", "id", "captured_at", "price_per_person", F.lit(NOW))
+
+
+QUERIES = {f.__name__: f for f in (identity_keys, normal_names, raw_labels, raw_dates, latest_price, own_baseline, sparkline, price_moves, heartbeat_rows, representatives, market_median, locality_median, hotel_median, reference_ladder, facet_counts, first_fetched, failure_streaks, visible_offers, criteria_medians, history_stats)}
 
 _LATEST = "latest AS (SELECT offer_id, arg_max(price_per_person, id) AS price FROM price_snapshots GROUP BY offer_id)"
 _PRICED = f"{_LATEST}, priced AS (SELECT o.*, l.price FROM offers o JOIN latest l ON l.offer_id = o.id WHERE o.active AND l.price > 0)"
@@ -204,6 +223,19 @@ SELECT id, reference, CAST(floor(base * CASE WHEN reference = 'own' THEN 1 ELSE
     "failure_streaks": """
 WITH r AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
 SELECT user_id, (count(*) FILTER (failed AND rn <= 1) = 1) AND NOT coalesce(bool_or(failed AND rn = 2), FALSE) AS alert FROM r WHERE rn <= 20 GROUP BY user_id""",
+    "visible_offers": "SELECT id, country, departure_date FROM offers WHERE (country IS NULL OR country NOT IN ('Egypt', 'Malta')) AND (departure_date IS NULL OR departure_date >= DATE '2026-05-16')",
+    "criteria_medians": f"""
+WITH {_PRICED}, open AS (SELECT * FROM priced WHERE departure_date IS NULL OR departure_date >= DATE '2026-05-16'),
+met AS (
+  SELECT 'sea' AS name, price FROM open WHERE country IN ('Řecko', 'Turecko', 'Kypr') AND board IN ('AI', 'HB') AND month(departure_date) IN (6, 7, 8) AND transport = 'flight'
+  UNION ALL SELECT 'soon', price FROM open WHERE departure_date - DATE '2026-05-16' BETWEEN 0 AND 14
+  UNION ALL SELECT 'cheap', price FROM open WHERE price <= 9000)
+SELECT name, count(*) AS offers, median(price) AS median FROM met GROUP BY name""",
+    "history_stats": """
+SELECT offer_id, min(captured_at) AS first_at, max(captured_at) AS last_at, min(price_per_person) AS least, max(price_per_person) AS most, arg_max(price_per_person, id) AS last_price,
+       median(price_per_person) FILTER (captured_at >= TIMESTAMPTZ '2026-05-16 00:00:00+00' - INTERVAL 30 DAYS) AS median,
+       date_diff('day', CAST(min(captured_at) AT TIME ZONE 'Europe/Prague' AS DATE), CAST(max(captured_at) AT TIME ZONE 'Europe/Prague' AS DATE)) AS days_tracked
+FROM price_snapshots GROUP BY offer_id""",
     "heartbeat_rows": """
 WITH RECURSIVE ordered AS (SELECT offer_id, id, price_per_person, epoch_us(captured_at) AS t, row_number() OVER (PARTITION BY offer_id ORDER BY id) AS rn FROM price_snapshots),
 fold AS (

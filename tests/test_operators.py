@@ -12,12 +12,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from sojourn.functions import normalize as N
+from sojourn.operators import criteria as C
 from sojourn.operators import history as H
 from sojourn.operators import ingest as I
 from sojourn.operators import peers as P
 from sojourn.operators.ranks import values_at_ranks
 from sojourn.operators.view import View
 from sojourn.sources import packages, payloads
+from sojourn.streaming.heartbeat import heartbeat_stream
 
 T0 = dt.datetime(2026, 5, 1)
 
@@ -91,7 +93,7 @@ def test_heartbeat_stream_equals_the_fold(spark, tmp_path):
         for f in (tmp_path / f"in/{n}").glob("*.parquet"):
             f.rename(tmp_path / f"land/{n}.parquet")
         stream = spark.readStream.schema("id long, k int, at timestamp, price int").parquet(str(tmp_path / "land"))
-        query = H.heartbeat_stream(stream, "k", "at", "price").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: got.extend(tuple(r) for r in df.collect())).trigger(availableNow=True).start()
+        query = heartbeat_stream(stream, "k", "at", "price").writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda df, _: got.extend(tuple(r) for r in df.collect())).trigger(availableNow=True).start()
         query.awaitTermination()
     assert set(got) == want and len(got) == len(want)
 
@@ -238,3 +240,28 @@ def test_packages(spark):
     body = json.dumps({"packages": [per, per | {"unit_price": 9000}, per | {"tour_id": None, "item_id": "i"}]})
     offers = sorted(packages.person_packages(spark.createDataFrame([(body,)], "body string"), "body", "s", "https://h").collect(), key=lambda o: o.price_per_person)
     assert [(o.price_per_person, o.price_total, o.claimed_discount_pct, o.claimed_original_price, o.tour_operator) for o in offers] == [(9000, None, None, None, "P"), (10000, None, None, None, "P")]
+
+
+def test_criteria(spark):
+    now = F.lit(dt.datetime(2026, 5, 16, 12, tzinfo=dt.timezone.utc))
+    day = dt.date(2026, 5, 30)
+    df = spark.createDataFrame([(1, "Řecko", "AI", "flight", day, 900), (2, None, None, None, None, None), (3, "Egypt", "HB", "own", dt.date(2026, 5, 15), 10), (4, "Egypt", "HB", "own", dt.date(2026, 5, 16), 10), (5, "Egypt", "HB", "own", dt.date(2026, 5, 31), 10)], "id int, country string, board string, transport string, departure_date date, price int")
+    excluded = spark.createDataFrame([("Řecko",), (None,)], "country string")
+    assert {r.id for r in C.visible(df, excluded, now).collect()} == {2, 4, 5}
+    criteria = spark.createDataFrame([("all", [], [], [], None, None, None), ("gr", ["řecko / x"], ["AI"], [5], "flight", 14, 900), ("soon", [], [], [], None, 14, None), ("cheap", ["Egypt", "egypt"], [], [], None, None, 10)], "name string, countries array<string>, boards array<string>, months array<int>, transport string, within_days int, most int")
+    got = {(r.id, r.name) for r in C.meet_criteria(df, criteria, now).collect()}
+    assert got == {(1, "all"), (2, "all"), (4, "all"), (5, "all"), (1, "gr"), (1, "soon"), (4, "soon"), (4, "cheap"), (5, "cheap")}
+    assert C.meet_criteria(df, criteria, now).count() == 9
+
+
+def test_log_cap_status(spark):
+    now = F.lit(dt.datetime(2026, 5, 16, 12, tzinfo=dt.timezone.utc))
+    t = lambda d: dt.datetime(2026, 5, 16, 12) - dt.timedelta(days=d)
+    cands = spark.createDataFrame([("a", "drop", 9500), ("b", "drop", 9501), ("c", "new", 1), ("d", "new", 1), ("e", "drop", 10000)], "key string, type string, price int")
+    log = spark.createDataFrame([(1, "a", "drop", 1, t(1)), (2, "a", "drop", 10000, t(1)), (3, "b", "drop", 10000, t(6.9)), (4, "c", "new", 100, t(90)), (5, "e", "drop", 10000, t(7)), (6, "d", "drop", 1, t(1))], "id int, key string, type string, price int, at timestamp")
+    assert {r.key for r in C.not_yet_told(cands, log, now, ("new",), 5, 7).collect()} == {"a", "d", "e"}
+    top, rest = C.capped(cands, [F.desc_nulls_last("price"), F.asc("key")], 2)
+    assert [r.key for r in top.collect()] == ["e", "b"] and spark.range(1).select(rest).first()[0] == 3
+    runs = spark.createDataFrame([(1, "s", "failed", "BLOCKED 403", t(0.5)), (2, "s", "partial", "BACKOFF", t(0.2)), (3, "u", "failed", "BLOCKED", t(0.5)), (4, "u", "ok", None, t(0.1)), (5, "v", "failed", "BLOCKED", t(1.5)), (6, "w", None, None, None)], "id int, source string, status string, error_sample string, started_at timestamp")
+    got = {r.source: (r.status, r.backoff_until is not None) for r in C.run_status(runs, now).collect()}
+    assert got == {"s": ("partial", True), "u": ("ok", False), "v": ("failed", False), "w": (None, False)}
