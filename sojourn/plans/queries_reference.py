@@ -191,6 +191,15 @@ SELECT id, strip_accents(lower(title)) AS stripped, {_NAME} AS name,
                  WHEN 'budapest' THEN 'BUD' WHEN 'katovice' THEN 'KTW' WHEN 'krakov' THEN 'KRK' WHEN 'wroclaw' THEN 'WRO' END END AS airport,
        regexp_matches(title, '^Hotel\\s+\\d+$') AS placeholder, {_BAND} AS band, strftime(departure_date, '%Y-%m') AS month
 FROM offers""",
+    "raw_labels": f"""
+WITH raw AS (SELECT raw_id, coalesce(board_name, '') AS bn, strip_accents(lower(board_name)) AS b, coalesce(transport_name, '') AS tn, strip_accents(lower(transport_name)) AS t, nullif(trim(regexp_split_to_array(country_name, '[/,–-]')[1]), '') AS c FROM datour_packages),
+named(key, country) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in ({N._plain(c): c for c in N.COUNTRIES} | N.COUNTRY_ALIASES).items())})
+SELECT raw_id,
+       CASE WHEN bn = '' THEN 'unknown' WHEN contains(b, 'all') AND contains(b, 'inclusive') THEN 'AI' WHEN contains(b, 'plna penze') OR b = 'fb' THEN 'FB' WHEN contains(b, 'polopenze') OR b = 'hb' THEN 'HB'
+            WHEN contains(b, 'snidan') OR b = 'bb' THEN 'BB' WHEN contains(b, 'bez strav') THEN 'none' ELSE 'unknown' END AS board,
+       CASE WHEN tn = '' THEN 'unknown' WHEN contains(t, 'letec') OR contains(t, 'flight') THEN 'flight' WHEN contains(t, 'vlastni') OR contains(t, 'own') THEN 'own' WHEN contains(t, 'bus') THEN 'bus' ELSE 'unknown' END AS transport,
+       coalesce(named.country, c) AS country, named.country IS NOT NULL AS known
+FROM raw LEFT JOIN named ON named.key = strip_accents(lower(c))""",
     "raw_dates": r"""
 SELECT raw_id, CASE WHEN TRY_CAST(nullif(c, '') AS INTEGER) > 0 THEN TRY_CAST(nullif(c, '') AS INTEGER) END AS czk,
        CASE WHEN iso <> '' THEN iso WHEN y <> '' THEN y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') END AS day

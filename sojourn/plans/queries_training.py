@@ -68,6 +68,45 @@ FROM (SELECT s.*, d.next_no FROM state s JOIN deliveries d USING (snapshot_no) W
 FULL JOIN (SELECT s.*, d.snapshot_no AS prev_no FROM state s JOIN deliveries d ON d.next_no = s.snapshot_no) b ON a.id = b.id AND a.snapshot_no = b.prev_no
 JOIN deliveries d ON d.snapshot_no = coalesce(a.snapshot_no, b.prev_no)
 WHERE a.id IS NULL OR b.id IS NULL OR NOT ({_SAME})
+""",
+    "p1_validity": f"""
+WITH {_STATE},
+numbered AS (SELECT s.*, d.idx, d.next_no FROM state s JOIN (SELECT *, row_number() OVER (ORDER BY snapshot_no) AS idx FROM deliveries) d USING (snapshot_no)),
+flagged AS (SELECT b.id, b.idx, b.snapshot_no, b.next_no, CASE WHEN a.id IS NULL OR NOT ({_SAME}) THEN 1 ELSE 0 END AS starts FROM numbered b LEFT JOIN numbered a ON a.id = b.id AND a.idx = b.idx - 1),
+islands AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY idx) AS island FROM flagged),
+spans AS (SELECT id, min(snapshot_no) AS first_no, max(idx) AS last_idx, count(*) AS deliveries FROM islands GROUP BY id, island)
+SELECT id, first_no, d.next_no AS after_no, deliveries FROM spans JOIN (SELECT *, row_number() OVER (ORDER BY snapshot_no) AS idx FROM deliveries) d ON d.idx = last_idx
+""",
+    "p6_found": r"""
+WITH units(alias, currency, factor) AS (VALUES ('kč', 'CZK', 1.0), ('czk', 'CZK', 1.0), ('tis. kč', 'CZK', 1000.0), ('hal.', 'CZK', 0.01), ('haléřů', 'CZK', 0.01), ('eur', 'EUR', 1.0), ('€', 'EUR', 1.0),
+  ('usd', 'USD', 1.0), ('$', 'USD', 1.0), ('gbp', 'GBP', 1.0), ('£', 'GBP', 1.0), ('pln', 'PLN', 1.0), ('zł', 'PLN', 1.0), ('huf', 'HUF', 1.0), ('ft', 'HUF', 1.0)),
+factors AS (SELECT alias, factor * czk / u.units AS f FROM (SELECT alias, currency, CAST(factor AS DOUBLE) AS factor FROM units) JOIN fx_rates u USING (currency)),
+texts AS (
+  SELECT 'alexandria_packages' AS kind, raw_id, package_price AS t, persons, nights AS stay FROM alexandria_packages
+  UNION ALL
+  SELECT 'datour_packages', raw_id, unit_price, NULL,
+         CASE WHEN nights LIKE '%noc%' OR nights LIKE '%N' THEN TRY_CAST(regexp_extract(nights, '(\d+) ?(?:N|noc)', 1) AS INTEGER) WHEN nights LIKE '%týd%' THEN TRY_CAST(regexp_extract(nights, '\d+') AS INTEGER) * 7
+              WHEN nights LIKE '%dn%' THEN TRY_CAST(regexp_extract(nights, '\d+') AS INTEGER) - 1 ELSE TRY_CAST(nights AS INTEGER) END
+  FROM datour_packages),
+tidy AS (SELECT *, trim(regexp_replace(lower(t), '[\s\x{a0}\x{2007}\x{2009}\x{202f}]+', ' ', 'g')) AS s FROM texts),
+parts AS (
+  SELECT *, replace(regexp_extract(s, '\d(?:[\d .,]*\d)?'), ' ', '') AS raw, coalesce(nullif(regexp_extract(regexp_replace(s, '\d(?:[\d .,]*\d)?', ' '), '(tis\. kč|haléřů|hal\.|kč|czk|eur|usd|gbp|pln|huf|zł|ft|€|\$|£)', 1), ''), 'kč') AS alias,
+         TRY_CAST(regexp_extract(s, '(?:za|pro|\() ?(\d+) ?os', 1) AS INTEGER) AS party, regexp_matches(s, 'noc|night') AS nightly, contains(s, 'celkem') AS total, regexp_matches(s, '/ ?os|(za|na) osobu') AS per_head
+  FROM tidy),
+readable AS (
+  SELECT *, TRY_CAST(CASE WHEN raw LIKE '%.%' AND raw LIKE '%,%' THEN CASE WHEN strpos(reverse(raw), ',') < strpos(reverse(raw), '.') THEN replace(replace(raw, '.', ''), ',', '.') ELSE replace(raw, ',', '') END
+                         WHEN regexp_matches(raw, '^\d{1,3}([.,]\d{3})+$') THEN regexp_replace(raw, '[.,]', '', 'g') ELSE replace(raw, ',', '.') END AS DECIMAL(18, 4)) AS n,
+         CAST(list_sum(list_transform(regexp_extract_all(persons, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE))) AS INTEGER) AS figures,
+         CASE WHEN persons LIKE 'jeden%' THEN 1 WHEN persons LIKE 'dva%' THEN 2 WHEN persons LIKE 'tři%' THEN 3 WHEN persons LIKE 'čtyři%' THEN 4 WHEN persons LIKE 'pět%' THEN 5 END + CASE WHEN persons LIKE '%a dítě' THEN 1 ELSE 0 END AS words
+  FROM parts),
+heads AS (SELECT *, CASE WHEN party IS NOT NULL THEN party WHEN per_head OR (nightly AND NOT total) THEN 1 WHEN kind = 'datour_packages' AND NOT total THEN 1 ELSE nullif(coalesce(figures, words), 0) END AS h, CASE WHEN nightly THEN stay ELSE 1 END AS times FROM readable),
+amounts AS (SELECT kind, raw_id, CAST(floor(CAST(n AS DOUBLE) * f * times / h + 0.5 + 1e-7) AS BIGINT) AS amount_czk FROM heads JOIN factors USING (alias) WHERE n > 0 AND h > 0),
+odd AS (
+  SELECT id, price_total AS t, price_per_person AS p FROM price_snapshots WHERE price_total > 0 AND price_per_person > 0 AND NOT (price_total % price_per_person = 0 AND price_total // price_per_person <= 4)),
+tried AS (
+  SELECT id, k * p AS amount, abs(t - p * k / f) AS off FROM odd, (SELECT DISTINCT f FROM factors WHERE f <> 1) fs, (VALUES (1), (2), (3), (4)) ks(k))
+SELECT kind AS record_kind, raw_id AS record_id, amount_czk FROM amounts WHERE amount_czk IS NOT NULL
+UNION ALL SELECT 'price_snapshots', id, CAST(arg_min(amount, off) AS BIGINT) FROM tried WHERE off <= 0.500001 GROUP BY id
 """,
     "p4_rolling_totals": """
 WITH once AS (
