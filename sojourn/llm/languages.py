@@ -183,10 +183,10 @@ def fit(texts: list[str], labels: list[str], s: Settings = Settings()) -> np.nda
 def segments(texts: list[str], weights: np.ndarray, s: Settings) -> Iterator[tuple[int, int, str, float, int]]:
     """``(text, line, language, confidence, letters)`` of whole texts (line 0) and of the lines of mixed ones.
 
-    Confidence is the lead of the language's score over the next, from 0 to 1, averaged over letters; for a line it is
+    A text's language is the one with most characters. Confidence is the lead of the language's score over the next, from 0 to 1, averaged over letters; for a line it is
     that of the language's own sentences. A text without sentences in letters gives nothing.
     """
-    owner, line_no, words = [], [], []
+    owner, line_no, words, chars = [], [], [], []
     for i, text in enumerate(texts):
         for k, line in enumerate((text or "").split("\n"), 1):
             for sentence in sentences(line):
@@ -195,6 +195,7 @@ def segments(texts: list[str], weights: np.ndarray, s: Settings) -> Iterator[tup
                     owner.append(i)
                     line_no.append(k)
                     words.append(w)
+                    chars.append(len(sentence))
     if not words:
         return
     once: dict[str, int] = {}
@@ -204,18 +205,18 @@ def segments(texts: list[str], weights: np.ndarray, s: Settings) -> Iterator[tup
     ranked = np.sort(scores, axis=1)
     lead = np.clip((ranked[:, -1] - ranked[:, -2]) / 2, 0, 1)
     best = scores.argmax(1)
-    owner, line_no = np.array(owner), np.array(line_no)
+    owner, line_no, chars = np.array(owner), np.array(line_no), np.array(chars)
     cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     for a, z in zip(cuts, np.append(cuts[1:], len(owner)), strict=True):
         sure = (lead[a:z] >= s.lead + 0.03 * np.maximum(30 - size[a:z], 0)) & (size[a:z] >= s.letters)
-        letters_of = np.zeros(len(LANGUAGES))
-        np.add.at(letters_of, best[a:z][sure], size[a:z][sure])
+        length_of = np.zeros(len(LANGUAGES))
+        np.add.at(length_of, best[a:z][sure], chars[a:z][sure])
         whole = (scores[a:z] * size[a:z, None]).sum(0)
-        main = int(letters_of.argmax()) if sure.any() else int(whole.argmax())
+        main = int(length_of.argmax()) if sure.any() else int(whole.argmax())
         # A sentence that doesn't lead clearly goes with its document.
         tongue = np.where(sure, best[a:z], main)
         total = np.zeros(len(LANGUAGES))
-        np.add.at(total, tongue, size[a:z])
+        np.add.at(total, tongue, chars[a:z])
         main = int(total.argmax())
         mine = tongue == main
         yield int(owner[a]), 0, LANGUAGES[main], float((lead[a:z][mine] * size[a:z][mine]).sum() / size[a:z][mine].sum()), int(size[a:z].sum())
