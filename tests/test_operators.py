@@ -18,7 +18,7 @@ from sojourn.operators import ingest as I
 from sojourn.operators import peers as P
 from sojourn.operators.ranks import values_at_ranks
 from sojourn.operators.view import View
-from sojourn.sources import packages, payloads
+from sojourn.sources import lookups, packages, payloads
 from sojourn.streaming.heartbeat import heartbeat_stream
 
 T0 = dt.datetime(2026, 5, 1)
@@ -265,3 +265,24 @@ def test_log_cap_status(spark):
     runs = spark.createDataFrame([(1, "s", "failed", "BLOCKED 403", t(0.5)), (2, "s", "partial", "BACKOFF", t(0.2)), (3, "u", "failed", "BLOCKED", t(0.5)), (4, "u", "ok", None, t(0.1)), (5, "v", "failed", "BLOCKED", t(1.5)), (6, "w", None, None, None)], "id int, source string, status string, error_sample string, started_at timestamp")
     got = {r.source: (r.status, r.backoff_until is not None) for r in C.run_status(runs, now).collect()}
     assert got == {"s": ("partial", True), "u": ("ok", False), "v": ("failed", False), "w": (None, False)}
+
+
+def test_lookups(spark):
+    one = lambda text: spark.createDataFrame([(text,)], "body string")
+    countries = lookups.country_names(one('{"status": "success", "data": {"country": {"3": "Řecko", "4": "Alžírsko"}}}'), "body")
+    hotels = lookups.hotel_pages(one("<urlset><url><loc>https://h.example/detail-zajezdu/recko/modra-laguna/12a</loc></url><url><loc>https://h.example/</loc></url></urlset>"), "body")
+    assert [tuple(r) for r in hotels.collect()] == [(12, "Modra Laguna", "https://h.example/detail-zajezdu/recko/modra-laguna/12a")]
+    term = {"master_id": 12, "price_from": {"CZK": 9000.4}, "date_from": "2026-07-01", "duration_night": 7, "country": "3", "boarding": "Polopenze", "boarding_id": 2, "discount_percent": 10, "rating": 4, "tour_operator": {"name": "T"}, "airport_code": "PRG"}
+    body = json.dumps({"data": {"dates": [term, term, term | {"master_id": 99, "country": "4", "discount_percent": 0}, term | {"price_from": {}}, term | {"date_from": None}]}})
+    got = {r.title: r for r in lookups.dated_terms(one(body), "body", countries, hotels, "s", "https://h.example").collect()}
+    assert set(got) == {"Modra Laguna", "Hotel 99"}
+    known = got["Modra Laguna"]
+    assert (known.country, known.board, known.price_per_person, known.claimed_original_price, known.claimed_discount_pct, known.tour_operator, known.departure_date) == ("Řecko", "HB", 9000, 10000, 10.0, "T", dt.date(2026, 7, 1))
+    assert (got["Hotel 99"].country, got["Hotel 99"].claimed_original_price, got["Hotel 99"].url) == (None, None, "https://h.example")
+    hotel = {"detailUrl": "/recko/x?a=1", "hotelId": 5, "name": "X", "rating": {"count": 0.0}, "meal": "Snídaně", "adultPrice": {"amount": 15990.0}}
+    tours = spark.createDataFrame([(1, dt.date(2026, 7, 1), 7, "Řecko", "Kréta")], "t int, departure_date date, nights int, country string, locality string")
+    (x,) = lookups.tour_hotels(one(json.dumps({"hotels": [hotel, hotel, hotel | {"adultPrice": None}]})).withColumn("t", F.lit(1)), "body", tours, "t", "s", "https://h.example").collect()
+    assert (x.title, x.stars, x.board, x.locality, x.url, x.price_per_person) == ("X", None, "BB", "Kréta", "https://h.example/recko/x?a=1", 15990)
+    offers = spark.createDataFrame([("a", 1, "Hotel 1"), ("b", 1, "Hotel 1"), ("c", 2, "Hotel 2"), ("d", 1, "Jiný")], "source_offer_key string, hotel_id int, title string")
+    prior = spark.createDataFrame([("a", "Modrá"), ("c", "Hotel 2")], "source_offer_key string, title string")
+    assert {(r.source_offer_key, r.title) for r in lookups.named_hotels(offers, prior).collect()} == {("a", "Modrá"), ("b", "Modrá"), ("c", "Hotel 2"), ("d", "Jiný")}
