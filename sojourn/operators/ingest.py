@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.functions import normalize as N
 from sojourn.operators.history import first_wins
+from sojourn.operators.ranks import number_rows
 
 _KEY = ["source", "source_offer_key"]
 _TOLD = ["title", "country", "locality", "stars", "board", "transport", "departure_airport", "departure_date", "nights", "tour_operator", "url"]
@@ -33,10 +34,9 @@ def upsert(offers: DataFrame, incoming: DataFrame, now: Column, ordinal: str = "
         F.col(f"n.{ordinal}").alias(ordinal),
     )
     keyed = merged.withColumn("match_key", N.match_key(*[F.col(c) for c in ("title", "country", "departure_date", "nights", "board", "departure_airport")])).withColumn("hotel_key", N.hotel_key(F.col("title"), F.col("country")))
-    # New keys only: a batch's, numbered in one small sort after the greatest id.
     old = keyed.filter("id is not null")
     greatest = offers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-    fresh = keyed.filter("id is null").withColumn("id", greatest.scalar() + F.row_number().over(Window.orderBy(ordinal)))
+    fresh = number_rows(keyed.filter("id is null").drop("id"), [ordinal, *_KEY], "__new").withColumn("id", greatest.scalar() + F.col("__new")).drop("__new")
     return old.unionByName(fresh).drop(ordinal)
 
 

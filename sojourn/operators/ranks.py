@@ -31,3 +31,17 @@ def values_at_ranks(counts: DataFrame, groups: list[str], value: str, ranks: dic
     hits = [F.min(F.when(F.col("upto") >= rank(F.col("total")), F.col("v"))).alias(name) for name, rank in ranks.items()]
     out = reached.groupBy("key").agg(F.max("total").alias("total"), *hits)
     return out.select(*[F.col("key").getField(g).alias(g) for g in groups], "total", *ranks)
+
+
+def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` plus ``name``: 1, 2, ... in ``order`` (which should leave no ties), without one task that holds all rows.
+
+    Rows are range-partitioned by ``order`` and numbered within their partition; the number of rows before it is added
+    (one small row per partition, so they may be broadcast). The partitions are written to the shared folder first.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")

@@ -16,7 +16,7 @@ from sojourn.operators import criteria as C
 from sojourn.operators import history as H
 from sojourn.operators import ingest as I
 from sojourn.operators import peers as P
-from sojourn.operators.ranks import values_at_ranks
+from sojourn.operators.ranks import number_rows, values_at_ranks
 from sojourn.operators.view import View
 from sojourn.sources import lookups, packages, payloads
 from sojourn.streaming.heartbeat import heartbeat_stream
@@ -286,3 +286,9 @@ def test_lookups(spark):
     offers = spark.createDataFrame([("a", 1, "Hotel 1"), ("b", 1, "Hotel 1"), ("c", 2, "Hotel 2"), ("d", 1, "Jiný")], "source_offer_key string, hotel_id int, title string")
     prior = spark.createDataFrame([("a", "Modrá"), ("c", "Hotel 2")], "source_offer_key string, title string")
     assert {(r.source_offer_key, r.title) for r in lookups.named_hotels(offers, prior).collect()} == {("a", "Modrá"), ("b", "Modrá"), ("c", "Hotel 2"), ("d", "Jiný")}
+
+
+def test_number_rows(spark):
+    df = spark.range(5000).selectExpr("(id * 7919) % 5000 as k", "id as name").repartition(7)
+    assert [(r.k, r.n) for r in number_rows(df, ["k"], "n").orderBy("k").collect()] == [(k, k + 1) for k in range(5000)]
+    assert number_rows(df.limit(0), ["k"], "n").count() == 0
