@@ -24,14 +24,18 @@ _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
 _SENTENCE = re.compile(r"(?<!\(ex\.)(?<=[.!?…])[\s\xa0]+(?=[„\"(]?[^\W\d_a-z])")
 _NAME = re.compile(r"(?<=[^\W_] )(?:[^\W\d_a-záčďéěíňóřšťúůýžäöüßąćęłńśźżĺľŕô][\w'-]*)|(?<=[,-] )(?:[^\W\d_a-záčďéěíňóřšťúůýžäöüßąćęłńśźżĺľŕô][\w'-]*)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Characters that are scored at once.
+PIECE = 300_000
 _CODE = re.compile(r"\b[A-Z]{2,4}\b")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``docs`` labelled documents a language at most are sampled to fit; the rest is the model's shape."""
+    """``docs`` labelled documents a language at most, of ``chars`` characters at most, are sampled to fit; the rest is
+    the model's shape."""
 
     docs: int = 1000
+    chars: int = 20_000
     sentences: int = 2000
     landmarks: int = 1000
     grams: tuple[int, ...] = (2, 3, 4)
@@ -99,12 +103,24 @@ def presence(texts: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _sums(weights: np.ndarray, texts: list[str], s: Settings) -> np.ndarray:
-    """Presence matrix of the texts, each row of length one, times ``weights``."""
-    slots, first, size = presence(texts, s)
+    """Presence matrix of the texts, each row of length one, times ``weights``; about ``PIECE`` characters at once."""
     out = np.zeros((len(texts), weights.shape[1]), np.float32)
-    some = np.flatnonzero(size)
-    if len(some):
-        out[some] = np.add.reduceat(weights[slots], first[some], axis=0) / np.sqrt(size[some])[:, None]
+    k = 0
+    while k < len(texts):
+        end, held = k, 0
+        while end < len(texts) and (end == k or held + len(texts[end]) < PIECE):
+            held += len(texts[end])
+            end += 1
+        if held > PIECE:  # one long text: the grams of its pieces, which share enough letters to miss none
+            pieces = [texts[k][a : a + PIECE + max(s.grams)] for a in range(0, len(texts[k]), PIECE)]
+            slots = np.unique(np.concatenate([presence([p], s)[0] for p in pieces]))
+            out[k] = weights[slots].sum(0) / np.sqrt(len(slots))
+        else:
+            slots, first, size = presence(texts[k:end], s)
+            some = np.flatnonzero(size)
+            if len(some):
+                out[k + some] = np.add.reduceat(weights[slots], first[some], axis=0) / np.sqrt(size[some])[:, None]
+        k = end
     return out
 
 
@@ -233,7 +249,7 @@ def sample(df: DataFrame, doc: str, text: str, label: str, s: Settings) -> list[
     The only rows that reach the driver: at most ``docs`` times the languages. Each task keeps its first few before
     the shuffle, so a language with nearly all rows costs no more.
     """
-    named = df.select(F.xxhash64(doc, text).alias("h"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).filter("l is not null and t is not null")
+    named = df.select(F.xxhash64(doc, text).alias("h"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).filter(F.col("l").isNotNull() & (F.length("t") <= s.chars))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     rows = named.withColumn("r", rank).filter(F.col("r") <= s.docs).select("t", "l", "h").collect()
     return [(r["t"], r["l"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"]))]
@@ -258,7 +274,7 @@ def label_documents(df: DataFrame, doc: str = "doc_id", text: str = "text", labe
             k = 0
             while k < len(texts):
                 end, held = k, 0
-                while end < len(texts) and (end == k or held + len(texts[end]) < 300_000):
+                while end < len(texts) and (end == k or held + len(texts[end]) < PIECE):
                     held += len(texts[end])
                     end += 1
                 found = list(segments(texts[k:end], w, s))

@@ -24,6 +24,8 @@ _HIDDEN = re.compile(r"[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060
 _WORD = re.compile(r"[^\W_]+")
 
 Q = 8
+#: Characters that are searched at once.
+PIECE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -160,19 +162,37 @@ class Index:
 
     def leaks(self, texts: list[str]) -> list[tuple[int, int]]:
         """``(text, item)`` pairs of a batch of raw texts."""
-        words = [_WORD.findall(t) for t in plain(texts)]
-        squeezed = ["".join(w) for w in words]
         out: dict[tuple[int, int], bool] = {}
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        overlap = 2 * max(map(len, self.words), default=0) + self.shift
+        for t, text in enumerate(x or "" for x in texts):
+            words = _WORD.findall(plain([text])[0]) if len(text) > PIECE else None
+            # A long text is taken in pieces that share more words than any passage has, so that arrays stay small.
+            for piece in [words[a : a + PIECE // 8 + overlap] for a in range(0, len(words), PIECE // 8)] if words is not None else [text]:
+                held.append((t, piece))
+                size += len(piece) if isinstance(piece, str) else 6 * len(piece)
+                if size > PIECE:
+                    self._search(held, out)
+                    held, size = [], 0
+        self._search(held, out)
+        return [k for k, v in out.items() if v]
+
+    def _search(self, held: list[tuple[int, str | list[str]]], out: dict[tuple[int, int], bool]) -> None:
+        """Notes in ``out`` what the texts and pieces in ``held`` hold."""
+        short = iter(plain([p for _, p in held if isinstance(p, str)]) if any(not isinstance(p, list) for _, p in held) else [])
+        words = [p if isinstance(p, list) else _WORD.findall(next(short)) for _, p in held]
+        squeezed = ["".join(w) for w in words]
         ends: dict[int, np.ndarray] = {}
-        for t, i, a, z in self.candidates(squeezed):
+        for k, i, a, z in self.candidates(squeezed):
+            t = held[k][0]
             if out.get((t, i)):
                 continue
-            if t not in ends:
-                ends[t] = np.cumsum([len(w) for w in words[t]])
-            lo = int(np.searchsorted(ends[t], a - self.shift, side="right"))
-            hi = int(np.searchsorted(ends[t], z + Q + self.shift)) + 1
-            out[t, i] = self._holds(self.words[i], words[t][lo:hi])
-        return [k for k, v in out.items() if v]
+            if k not in ends:
+                ends[k] = np.cumsum([len(w) for w in words[k]])
+            lo = int(np.searchsorted(ends[k], a - self.shift, side="right"))
+            hi = int(np.searchsorted(ends[k], z + Q + self.shift)) + 1
+            out[t, i] = self._holds(self.words[i], words[k][lo:hi])
 
     def _holds(self, item: list[str], region: list[str]) -> bool:
         joined, b = "".join(region), self.bounds
@@ -275,16 +295,8 @@ def leaking_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", t
             for batch in batches:
                 ids = batch[doc].tolist()
                 texts = batch[text].tolist()
-                # Sub-batches of about a million characters bound the arrays, however long the texts are.
-                k = 0
-                while k < len(texts):
-                    end, held = k, 0
-                    while end < len(texts) and (end == k or held + len(texts[end]) < 1_000_000):
-                        held += len(texts[end])
-                        end += 1
-                    hits = index.leaks(texts[k:end])
-                    yield pd.DataFrame({doc: [ids[k + t] for t, _ in hits], item: [index.ids[i] for _, i in hits]})
-                    k = end
+                hits = index.leaks(texts)
+                yield pd.DataFrame({doc: [ids[t] for t, _ in hits], item: [index.ids[i] for _, i in hits]})
 
         part = slim.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)

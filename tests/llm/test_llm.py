@@ -163,6 +163,19 @@ def test_leaks_against_every_window():
     assert want and got == want
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    index = K.Index([7], [ITEM], K.Bounds())
+    texts = ["slovo " * n + ITEM + " konec" * 40 for n in range(0, 60, 3)] + ["slovo " * 90, "", None, ITEM]
+    whole = set(index.leaks(texts))
+    monkeypatch.setattr(K, "PIECE", 200)
+    assert set(index.leaks(texts)) == whole == {(k, 0) for k in [*range(20), 23]}
+    weights = np.random.default_rng(0).normal(size=(1 << 18, 5)).astype(np.float32)
+    lines = [" dobrý den " * 40, " a ", " " + "xyz" * 500 + " "]
+    before = L._sums(weights, lines, L.Settings())
+    monkeypatch.setattr(L, "PIECE", 50)
+    assert np.allclose(before, L._sums(weights, lines, L.Settings()), atol=1e-4)
+
+
 # --- p9
 
 
