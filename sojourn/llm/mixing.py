@@ -120,9 +120,10 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000
     """
     spark = documents.sparkSession
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
-    once = wanted.groupBy("source", F.xxhash64("text").alias("h"), F.length("text").alias("l")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("source", "d.doc_id", "d.text")
-    sized = cut(count_tokens(once, "text", ["doc_id", "source"], path).filter("tokens > 0"))
+    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text", F.xxhash64("text").alias("h"), F.length("text").alias("l")).join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
+    # Texts are counted where they lie; only ids, sizes and fingerprints are shuffled to find texts fetched again.
+    counted = count_tokens(wanted, "text", ["doc_id", "source", "h", "l"], path).filter("tokens > 0")
+    sized = cut(counted.groupBy("source", "h", "l").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")).drop("h", "l"))
     per_source = {r["source"]: r["tokens"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     blocks = F.lit(64)
     for source, tokens in per_source.items():
