@@ -14,12 +14,14 @@ from sojourn.session import cut
 # Words of titles that don't tell hotels apart, and marketing phrases that sources add.
 NOISE_WORDS = ("hotel", "aparthotel", "the", "resort", "spa", "premium")
 NOISE_PHRASES = ("all inclusive", "adults only")
+# Last words by which the hotels of one family differ.
+SIBLINGS = ("annex", "ii", "iii", "villas", "junior", "select")
 _MARKS = "".join(chr(c) for c in range(0x0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c))
 _BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKS)
 
 #: Log-odds of a match by how two values compare; the sums are what belief propagation starts from.
 WEIGHTS = {
-    "name": {"same": 5.0, "close": 3.5, "cut": 2.5, "far": 1.0, "unknown": 0.0, "other": -9.0},
+    "name": {"same": 5.0, "close": 3.5, "cut": 2.5, "far": 1.0, "unknown": -2.5, "other": -9.0},
     "place": {"same": 2.0, "close": 1.5, "unknown": 0.0, "other": -5.0},
     "date": {"same": 1.0, "near": -1.0},
     "nights": {"same": 1.0, "unknown": 0.0, "near": -1.0},
@@ -104,16 +106,17 @@ def edits(a: str, b: str, most: int) -> int:
     return one[-1]
 
 
-def _word(a: str, b: str, clipped: bool) -> int:
+def _word(a: str, b: str, cut_a: bool, cut_b: bool) -> int:
     """0 same, 1 an abbreviation or cut, 2 a slip of the pen, 3 two slips, 9 another word."""
     if a == b:
         return 0
     short, long = sorted((a, b), key=len)
+    clipped = cut_a if short is a else cut_b  # only the shorter one can be what is left of the other
     if clipped and len(short) >= 1 and long.startswith(short):
         return 1
     if 2 <= len(short) <= 4 and len(long) - len(short) >= 2 and _abbreviates(short, long):
         return 1
-    if clipped and len(short) >= 1 and len(short) <= 4 and short[0] == long[0] and len(long) <= 4:
+    if (cut_a or cut_b) and len(short) >= 1 and len(short) <= 4 and short[0] == long[0] and len(long) <= 4:
         return 1  # both short for the same word, one of them cut
     if len(short) >= 4 and edits(a, b, 1) <= 1:
         return 2
@@ -136,24 +139,24 @@ def compare_names(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> str:
         return "unknown"
     if sorted(a) == sorted(b) or "".join(a) == "".join(b):
         return "same"
-    clipped = cut_a or cut_b
     if len(a) == len(b):
         for other in (b, b[1:] + b[:1], b[-1:] + b[:-1]):
-            kinds = [_word(x, y, clipped) for x, y in zip(a, other, strict=True)]
+            kinds = [_word(x, y, cut_a, cut_b) for x, y in zip(a, other, strict=True)]
             if 9 not in kinds:
                 return "far" if 3 in kinds else "cut" if 1 in kinds else "close"
         return "other"
     if len(a) == 1 or len(b) == 1:  # run together, perhaps with a slip
         x, y = "".join(a), "".join(b)
-        if not clipped and (x.startswith(y) or y.startswith(x)):
+        short, long, was = (x, y, cut_a) if len(x) < len(y) else (y, x, cut_b)
+        if was and len(short) >= 5 and long.startswith(short) and not long.endswith(SIBLINGS):
+            return "cut"
+        if x.startswith(y) or y.startswith(x):
             return "other"
         slips = edits(x, y, 2) if min(len(x), len(y)) >= 6 else 9
         if slips <= 2:
             return "close" if slips < 2 else "far"
         if len(b) == 2 and "".join(b[::-1]) == x or len(a) == 2 and "".join(a[::-1]) == y:
             return "close"
-        if clipped and min(len(x), len(y)) >= 5 and (x.startswith(y) or y.startswith(x)):
-            return "cut"
     return "other"
 
 
@@ -243,8 +246,8 @@ def propagate(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 25,
 def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: str = "title", place: str = "locality", date: str = "departure_date", nights: str = "nights") -> DataFrame:
     """``(id_a, id_b, belief)``, id_a < id_b, of pairs of different sources that may be the same stay.
 
-    Only the four attributes count. A row without a date is in no pair; unknown nights, place or name (a placeholder
-    title, or nothing left of it) are compatible with anything but prove nothing. Names compare word by word: slips of
+    Only the four attributes count. A row without a date is in no pair; unknown nights or place are compatible with
+    anything but prove nothing, and an unknown name (a placeholder title, or nothing left of it) is held against a pair. Names compare word by word: slips of
     one letter, other order, words run together, cut and abbreviated words are forgiven, a word more or another word
     is another hotel. Repeated ids count once; equal rows under different ids pair like any others. An empty table
     gives an empty result.
