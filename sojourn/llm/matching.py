@@ -247,10 +247,10 @@ def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: s
     """``(id_a, id_b, belief)``, id_a < id_b, of pairs of different sources that may be the same stay.
 
     Only the four attributes count. A row without a date is in no pair; unknown nights or place are compatible with
-    anything but prove nothing, and an unknown name (a placeholder title, or nothing left of it) is held against a pair. Names compare word by word: slips of
-    one letter, other order, words run together, cut and abbreviated words are forgiven, a word more or another word
-    is another hotel. Repeated ids count once; equal rows under different ids pair like any others. An empty table
-    gives an empty result.
+    anything but prove nothing, and an unknown name (a placeholder title, or nothing left of it) is held against a
+    pair. Names compare word by word: slips of one letter or two, other order, words run together, cut and abbreviated
+    words are forgiven, a word more or another word is another hotel. Repeated ids count once; equal rows under
+    different ids pair like any others. An empty table gives an empty result.
     """
     rows = _features(df, key, source, title, place, date, nights).dropDuplicates(["id"])
     scored = cut(_scored(cut(_candidates(rows))))
