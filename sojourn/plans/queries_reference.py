@@ -75,9 +75,9 @@ def heartbeat_rows(spark: SparkSession, d: str) -> DataFrame:
     return H.heartbeat(_prices(spark, d), "offer_id", "id", "captured_at", "price_per_person")
 
 
-def _priced(spark: SparkSession, d: str) -> DataFrame:
-    """Active offers with their latest price."""
-    last = latest_price(spark, d).select(F.col("offer_id").alias("id"), F.col("price_per_person").alias("price"))
+def _priced(spark: SparkSession, d: str, *also: str) -> DataFrame:
+    """Active offers with their latest price, and with what ``also`` names of that row."""
+    last = H.latest(_prices(spark, d), "offer_id", "id", ["price_per_person", *also]).withColumnsRenamed({"offer_id": "id", "price_per_person": "price"})
     return _offers(spark, d).filter("active").join(last, "id").filter("price > 0")
 
 
@@ -108,17 +108,20 @@ def hotel_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Q1, Q2: the first reference that an offer has, its baseline, and the price's distance from it in percent."""
-    rows = _per_night(spark, d).select("id", "price", "nights", "pn")
+    """Q1, Q2: the first reference that an offer has, its baseline, and the price's distance from it in percent.
+
+    The own and omnibus rungs are totals; the three others are per night, and offers below one night aren't in them.
+    """
+    rows = _priced(spark, d, "omnibus_lowest_price").select("id", "price", "nights", N.per_night(F.col("price"), F.col("nights")).alias("pn"), F.col("omnibus_lowest_price").alias("omnibus"))
     own = own_baseline(spark, d).select(F.col("offer_id").alias("id"), F.col("baseline").alias("own"))
     for name, rung in (("hotel", hotel_median(spark, d)), ("locality", locality_median(spark, d)), ("market", market_median(spark, d))):
         rows = rows.join(rung.select("id", F.col("median").alias(name)), "id", "left")
     rows = rows.join(own, "id", "left")
-    reference, base = P.first_rung([(r, F.col(r)) for r in ("own", "hotel", "locality", "market")])
+    reference, base = P.first_rung([(r, F.col(r)) for r in ("own", "omnibus", "hotel", "locality", "market")])
     rows = rows.withColumn("reference", reference).withColumn("base", base)
-    is_own = F.col("reference") == "own"
-    now = F.when(is_own, F.col("price")).otherwise(F.col("pn"))
-    return rows.select("id", "reference", N.half_up(F.col("base") * F.when(is_own, 1).otherwise(F.col("nights"))).cast("long").alias("baseline"), N.half_up((F.col("base") - now) / F.col("base") * 100).cast("long").alias("real_pct"))
+    in_total = F.col("reference").isin("own", "omnibus")
+    now = F.when(in_total, F.col("price")).otherwise(F.col("pn"))
+    return rows.select("id", "reference", N.half_up(F.col("base") * F.when(in_total, 1).otherwise(F.col("nights"))).cast("long").alias("baseline"), N.half_up((F.col("base") - now) / F.col("base") * 100).cast("long").alias("real_pct"))
 
 
 def facet_counts(spark: SparkSession, d: str) -> DataFrame:
