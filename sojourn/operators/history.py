@@ -85,10 +85,17 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).filter("p.value is not null").groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def streaks(df: DataFrame, key: str, by: str, failed: Column, length: int = 3, look: int = 20) -> DataFrame:
-    """Keys of whose last ``look`` rows the newest ``length`` failed and the one before didn't (none counts as not)."""
+def streaks(df: DataFrame, key: str, by: str, failed: Column, length: int = 3, look: int = 20, ignored: Column | None = None) -> DataFrame:
+    """Keys of whose last ``look`` rows the newest ``length`` failed and the one before didn't (none counts as not).
+
+    ``ignored`` rows (null isn't) are left out after ``look`` is cut and before the rest are numbered; a key that has no
+    other row stays, without alert.
+    """
+    skip = F.lit(False) if ignored is None else F.coalesce(ignored, F.lit(False))
     w = Window.partitionBy(key).orderBy(F.desc(by))
-    rows = df.select(key, failed.alias("failed"), F.row_number().over(w).alias("rn")).filter(F.col("rn") <= look)
+    rows = df.select(key, by, failed.alias("failed"), skip.alias("skip"), F.row_number().over(w).alias("rn")).filter(F.col("rn") <= look)
+    if ignored is not None:
+        rows = rows.withColumn("rn", F.when(~F.col("skip"), F.count_if(~F.col("skip")).over(w)))
     chain = F.count_if(F.col("failed") & (F.col("rn") <= length)) == length
     before = F.coalesce(F.bool_or(F.col("failed") & (F.col("rn") == length + 1)), F.lit(False))
     return rows.groupBy(key).agg((chain & ~before).alias("alert"))

@@ -136,7 +136,7 @@ def first_fetched(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_streaks(spark: SparkSession, d: str) -> DataFrame:
     """Users whose last three events, and not the one before, were errors."""
-    return H.streaks(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error", 1)
+    return H.streaks(table(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "error")
 
 
 def visible_offers(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pathlib import Path
 
 import pytest
 from oracle import differences
+from pyspark.sql import functions as F
 
+from sojourn.operators import history as H
 from sojourn.plans import queries_reference as R
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +45,29 @@ def test_ladder_rungs_in_total(spark, tmp_path):
     got = {r.id: (r.reference, r.baseline, r.real_pct) for r in R.reference_ladder(spark, str(tmp_path)).collect()}
     none = (None, None, None)
     assert got == {1: ("own", 8000, -25), 2: ("omnibus", 12000, 17), 3: ("omnibus", 12001, 17), 4: ("omnibus", 20000, 50), 5: none, 6: none}
+
+
+STREAKS = """
+WITH r AS (SELECT user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS i FROM events)
+SELECT user_id, count(*) FILTER (failed AND i IN (0, 1, 2)) = 3 AND count(*) FILTER (failed AND i = 3) = 0 AS alert FROM r WHERE i < 20 GROUP BY user_id"""
+
+
+@tables_here
+def test_streaks_equal_survey_sql(spark):
+    assert differences(R.failure_streaks(spark, SMALL), STREAKS, SMALL) == ""
+
+
+def test_streaks_query_asks_for_three(spark, tmp_path):
+    users = ("error error error view", "error view", "error error error error", "error error view")
+    rows = [(u, 100 - i, e) for u, seq in enumerate(users) for i, e in enumerate(seq.split())]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.alert for r in R.failure_streaks(spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_streaks_ignored(spark):
+    # newest first; B rows are about backing off and fill the look-back of 20 raw rows, but break no chain
+    runs = {"a": "FBFBBFS", "b": "FBFBFBF", "c": "BFF" + "B" * 17 + "F", "d": "FFF" + "B" * 17 + "F", "e": "BBB", "f": "FFBS"}
+    rows = [(s, 1000 - i, c == "F", c == "B" or None) for s, seq in runs.items() for i, c in enumerate(seq)]
+    df = spark.createDataFrame(rows, "s string, id int, f boolean, b boolean")
+    got = {r.s: r.alert for r in H.streaks(df, "s", "id", F.col("f"), ignored=F.col("b")).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": True, "e": False, "f": False}
