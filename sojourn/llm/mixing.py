@@ -107,7 +107,7 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: int) ->
     return pd.DataFrame(out, columns=columns)
 
 
-def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000, block_tokens: int = 200_000, most_blocks: int = 4096, seed: int = 17, path: str = VOCABULARY) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000, block_tokens: int = 200_000, most_blocks: int = 4096, seed: int = 17, path: str = VOCABULARY, least_shards: int = 1) -> DataFrame:
     """``(doc_id, source, copy, shard, position, tokens)``: the mixed corpus, by output shard.
 
     Sources are compared by :func:`source_name`. Texts fetched again under a new id are one document (the one of the
@@ -115,7 +115,7 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000
     a target are not used. Each source's documents fall into blocks of about ``block_tokens`` (64 to ``most_blocks`` a
     source) by a hash; only the blocks' token totals, at most sources times ``most_blocks`` numbers, reach the driver,
     and as many assignments per pass are joined back. There are as many shards as hold about ``shard_tokens`` each, so
-    that ordering a shard (ids alone) stays a small task. ``position`` is a random order within the shard. The same
+    that ordering a shard (ids alone) stays a small task, and at least ``least_shards``. ``position`` is a random order within the shard. The same
     input and seed give the same mixture.
     """
     spark = documents.sparkSession
@@ -128,7 +128,7 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000
     blocks = F.lit(64)
     for source, tokens in per_source.items():
         blocks = F.when(F.col("source") == source, min(most_blocks, max(64, tokens // block_tokens))).otherwise(blocks)
-    shards = max(1, -(-sum(per_source.values()) // shard_tokens))
+    shards = max(1, least_shards, -(-sum(per_source.values()) // shard_tokens))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks).cast("int"))
     totals = sized.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")).toPandas()
     rows = plan(totals, goals.toPandas(), shards, seed)

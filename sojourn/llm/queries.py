@@ -42,8 +42,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed corpus: which documents, how often, and where."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    """The mixed corpus: which documents, how often, and where; in 16 shards at least, which the tree deals at any size."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), least_shards=16)
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
