@@ -25,7 +25,7 @@ WEIGHTS = {
     "place": {"same": 2.0, "close": 1.5, "unknown": 0.0, "other": -5.0},
     "date": {"same": 1.0, "near": -1.0},
     "nights": {"same": 1.0, "unknown": 0.0, "near": -1.0},
-    "both_near": -3.0,
+    "both_near": -2.2,  # same name and same place still pass: two copies may each be off the stay, one by a day, one by a night
     "prior": -2.5,
 }
 

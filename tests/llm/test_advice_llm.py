@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from pathlib import Path
 
 import pytest
 
+from sojourn.llm import matching
 from sojourn.llm import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,3 +29,10 @@ def test_mixture_is_dealt(spark, monkeypatch):
     for r in rows:
         places.setdefault(r.shard, []).append(r.position)
     assert len(places) > 8 and all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
+
+
+def test_day_and_night_off(spark):
+    day = dt.date(2026, 10, 28)
+    rows = [(1, "a", "Mozhesrhu Pearl", "Monte Limafe", day, 13), (2, "b", "MozhesrhuPearl", "Monte Límáfe", day + dt.timedelta(1), 14), (3, "c", "Mozhesrhu Perl", "Sidi Stalina", day - dt.timedelta(1), 12)]
+    df = spark.createDataFrame(rows, "id long, source string, title string, locality string, departure_date date, nights int")
+    assert [(r.id_a, r.id_b) for r in matching.match_stays(df).filter("belief >= 0.5").collect()] == [(1, 2)]
