@@ -20,7 +20,8 @@ NOTATIONS = {
     "pl": ("pl", "pol", "polish", "polski"), "de": ("de", "deu", "ger", "german", "deutsch"), "en": ("en", "eng", "english"),
 }
 
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
+# Beyond 200 characters a tag is told from a stray "<" by a comment's start or an attribute's value near its name.
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>|<!--[^<>]*>|<[a-zA-Z][\w:-]*(?=\s)(?=[^<>=]{0,100}=\s?[\"'\w/#.])[^<>]*>")
 _SENTENCE = re.compile(r"(?<!\(ex\.)(?<=[.!?…])[\s\xa0]+(?=[„\"(]?[^\W\d_a-z])")
 _NAME = re.compile(r"(?<=[^\W_] )(?:[^\W\d_a-záčďéěíňóřšťúůýžäöüßąćęłńśźżĺľŕô][\w'-]*)|(?<=[,-] )(?:[^\W\d_a-záčďéěíňóřšťúůýžäöüßąćęłńśźżĺľŕô][\w'-]*)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")

@@ -18,8 +18,10 @@ LOOKALIKES = str.maketrans({
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
     "ν": "v", "ο": "o", "α": "a", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 })
-_BLOCK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|td|tr|table|h[1-6])\b[^<>\x00]{0,200}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>\x00]{0,200}>")
+# Beyond 200 characters a tag is told from a stray "<" by a comment's start or an attribute's value near its name.
+_LONG = r"(?=[^<>\x00=]{0,100}=\s?[\"'\w/#.])[^<>\x00]*>"
+_BLOCK_TAG = re.compile(rf"</?(?:br|p|div|li|ul|ol|td|tr|table|h[1-6])\b(?:[^<>\x00]{{0,200}}>|(?=\s){_LONG})", re.I)
+_TAG = re.compile(rf"</?[a-zA-Z!][^<>\x00]{{0,200}}>|<!--[^<>\x00]*>|<[a-zA-Z][\w:-]*(?=\s){_LONG}")
 _HIDDEN = re.compile(r"[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
 
