@@ -249,7 +249,7 @@ def test_languages_held_out_and_mixed(spark):
     for r in found:
         if r.line_no:
             lines[r.doc_id].add((r.line_no, r.lang))
-    assert lines[1000] == {(1, "cs"), (3, "de"), (3, "cs")}
+    assert lines[1000] == {(1, "cs"), (2, "de"), (2, "cs")}  # the blank line between them has no number
     assert not {1001, 1002, 1003} & set(main)
     assert main[1004] == "pl"
     assert all(0 <= r.confidence <= 1 for r in found)
@@ -263,3 +263,26 @@ def test_label_notations(spark):
 
 def test_languages_of_nothing(spark):
     assert L.label_documents(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_lines_are_counted_without_empty_ones():
+    docs = [("\n".join(SAMPLES[k]), k) for k in SAMPLES for _ in range(20)]
+    model = L.fit([t for t, _ in docs], [k for _, k in docs])
+    text = "\n \n" + SAMPLES["pl"][0] + "\n\n\n\t\n" + SAMPLES["en"][1] + "\n\nPRG 4.5.2026 12 990 CZK\n" + SAMPLES["pl"][2] + "\n"
+    got = [(line, lang) for _, line, lang, _, _ in L.segments([text], model, L.Settings())]
+    assert got[0] == (0, "pl") and set(got[1:]) == {(1, "pl"), (2, "en"), (4, "pl")}
+    assert list(L.segments(["", None, "PRG 1 CZK\nVIE 2", "\n\n"], model, L.Settings())) == []
+
+
+def test_lead_bounds_what_goes_astray():
+    least, differ = np.array([0.1, 0.9, 0.5, 0.3, 0.7]), np.array([True, False, False, True, False])
+    assert L._lead(least, differ, 0.0) == 0.5
+    assert L._lead(least, differ, 0.125) == 0.3
+    assert L._lead(least[:0], differ[:0], 0.1) == 0.0
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "cs").when(F.col("id") % 100 == 1, "German").alias("lang"))
+    s = L.Settings(docs=50)
+    got = L.sample(df, "doc_id", "text", "lang", s)
+    assert Counter(lang for _, lang in got) == {"cs": 50, "de": 20} and got == L.sample(df.repartition(7), "doc_id", "text", "lang", s)
