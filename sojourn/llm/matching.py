@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,15 +19,14 @@ SIBLINGS = ("annex", "ii", "iii", "villas", "junior", "select")
 _MARKS = "".join(chr(c) for c in range(0x0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c))
 _BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKS)
 
-#: Log-odds of a match by how two values compare; the sums are what belief propagation starts from.
-WEIGHTS = {
-    "name": {"same": 5.0, "close": 3.5, "cut": 2.5, "far": 1.0, "unknown": -2.5, "other": -9.0},
+#: Log-odds of a match by how two values compare; their sum with ``PRIOR`` is what belief propagation starts from. Names
+#: weigh most; a day or a night off is what sources do, so each costs little, but both at once need all else equal.
+LEVELS = {
+    "name": {"same": 5.0, "close": 3.5, "cut": 2.5, "far": 1.0, "unknown": -2.5},
     "place": {"same": 2.0, "close": 1.5, "unknown": 0.0, "other": -5.0},
-    "date": {"same": 1.0, "near": -1.0},
-    "nights": {"same": 1.0, "unknown": 0.0, "near": -1.0},
-    "both_near": -2.2,  # same name and same place still pass: two copies may each be off the stay, one by a day, one by a night
-    "prior": -2.5,
+    "term": {"same": 2.0, "night unknown": 1.0, "near": 0.0, "near, night unknown": -1.0, "both near": -4.2},
 }
+PRIOR = -2.5
 
 
 def bare(text: Column) -> Column:
@@ -58,7 +57,7 @@ def _features(df: DataFrame, key: str, source: str, title: str, place: str, date
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of rows whose days and nights are compatible and that share a block.
+    """``(id_a, id_b)``, id_a < id_b, each once: rows whose days and nights are compatible and that share a block.
 
     Blocks are (start of a name word, day) where the word comes first in one of the two names, (start of a name word,
     start of the place's last word, day), (end of a name word, start of the place's last word, day), (end of a name word, start of another, day), and (place, day) between names
@@ -77,15 +76,14 @@ def _candidates(rows: DataFrame) -> DataFrame:
     # A row without a name meets every row of its place, so those emit the place's block only if the other side lacks it.
     lone = F.when(F.col("place").isNotNull(), F.array(F.concat(F.lit("c"), F.coalesce(F.col("place"), F.lit(""))))).otherwise(nothing)
     unnamed = F.size("words") == 0
-    left = rows.withColumn("block", F.explode(F.when(unnamed, lone).otherwise(F.array_distinct(F.concat(F.transform(starts, lambda s: F.concat(F.lit("a"), s)), placed, crossed)))))
-    right = rows.withColumn("block", F.explode(F.array_distinct(F.concat(F.when(unnamed, nothing).otherwise(F.array(F.concat(F.lit("a"), first))), placed, crossed, F.when(unnamed, nothing).otherwise(lone))))).withColumn("day", F.explode(near))
-    a, b = left.alias("a"), right.select(*[F.col(c).alias(f"{c}_2") for c in right.columns]).alias("b")
-    met = a.join(b, (F.col("block") == F.col("block_2")) & (F.col("date") == F.col("day_2")) & (F.col("id") != F.col("id_2")))
-    met = met.filter(F.coalesce(F.abs(F.col("nights") - F.col("nights_2")) <= 1, F.lit(True)))
-    swap = F.col("id") > F.col("id_2")
-    fields = ("id", "source", "words", "cut", "place", "date", "nights")
-    sides = [F.when(swap, F.col(f"{c}_2")).otherwise(F.col(c)).alias(f"{c}_a") for c in fields] + [F.when(swap, F.col(c)).otherwise(F.col(f"{c}_2")).alias(f"{c}_b") for c in fields]
-    return met.select(*sides).dropDuplicates(["id_a", "id_b"])
+    slim = ("id", "date", "nights")
+    left = rows.select(*slim, F.explode(F.when(unnamed, lone).otherwise(F.array_distinct(F.concat(F.transform(starts, lambda s: F.concat(F.lit("a"), s)), placed, crossed)))).alias("block"))
+    right = rows.select(*slim, F.explode(F.array_distinct(F.concat(F.when(unnamed, nothing).otherwise(F.array(F.concat(F.lit("a"), first))), placed, crossed, F.when(unnamed, nothing).otherwise(lone)))).alias("block")).withColumn("date", F.explode(near))
+    # Only ids, days, nights and a fingerprint of the block are shuffled; a collision adds a pair that scoring throws out.
+    a, b = (side.select(F.col("id").alias(f"id_{k}"), F.col("nights").alias(f"nights_{k}"), F.xxhash64("block", "date").alias("block")) for side, k in ((left, "a"), (right, "b")))
+    met = a.join(b.hint("shuffle_merge"), "block").filter("id_a <> id_b")
+    met = met.filter(F.coalesce(F.abs(F.col("nights_a") - F.col("nights_b")) <= 1, F.lit(True)))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -174,89 +172,151 @@ def compare_places(a: str | None, b: str | None) -> str:
     return "close" if min(len(p), len(q)) >= 4 and edits(p, q, 2) <= 2 else "other"
 
 
-@F.pandas_udf(T.DoubleType())
-def _name_score(a: pd.Series, b: pd.Series, cut_a: pd.Series, cut_b: pd.Series) -> pd.Series:
-    return pd.Series([WEIGHTS["name"][compare_names(list(x), list(y), bool(p), bool(q))] for x, y, p, q in zip(a, b, cut_a, cut_b, strict=True)], dtype="float64")
-
+@F.pandas_udf(T.IntegerType())
+def _name_level(a: pd.Series, b: pd.Series, cut_a: pd.Series, cut_b: pd.Series) -> pd.Series:
+    """Place of the level among those of names, -1 for other names; -2 where the caller knows it (null names)."""
+    places = {v: i for i, v in enumerate(LEVELS["name"])} | {"other": -1}
+    seen: dict[tuple, int] = {}
+    out = []
+    for key in zip(a, b, cut_a, cut_b, strict=True):
+        if key[0] is None:
+            out.append(-2)
+            continue
+        if key not in seen:  # names recur on many days
+            seen[key] = places[compare_names(key[0].split(), key[1].split(), bool(key[2]), bool(key[3]))]
+        out.append(seen[key])
+    return pd.Series(out, dtype="int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def _place_level(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Place of the level among those of places; -2 where the caller knows it (null places)."""
+    places = {v: i for i, v in enumerate(LEVELS["place"])}
+    seen: dict[tuple, int] = {}
+    out = []
+    for key in zip(a, b, strict=True):
+        if key[0] is None:
+            out.append(-2)
+            continue
+        if key not in seen:
+            seen[key] = places[compare_places(*key)]
+        out.append(seen[key])
+    return pd.Series(out, dtype="int32")
+
+
+def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(id_a, id_b, source_a, source_b, name, place, term, unnamed, stay)``: levels of each candidate as places among
+    ``LEVELS``; pairs of other names are no candidates. Equal names and places are settled without Python."""
+    slim = rows.select("id", "source", F.array_join("words", " ").alias("name"), "cut", "place", "date", "nights")
+    for k in ("a", "b"):
+        pairs = pairs.join(slim.withColumnsRenamed({c: f"{c}_{k}" for c in slim.columns}).hint("shuffle_merge"), f"id_{k}")
+    at = {f: {v: i for i, v in enumerate(levels)} for f, levels in LEVELS.items()}
+    known = F.when((F.col("name_a") == "") | (F.col("name_b") == ""), at["name"]["unknown"]).when(F.col("name_a") == F.col("name_b"), at["name"]["same"])
+    placed = F.when(F.col("place_a").isNull() | F.col("place_b").isNull(), at["place"]["unknown"]).when(F.col("place_a") == F.col("place_b"), at["place"]["same"])
+    pairs = pairs.withColumn("known", known).withColumn("placed", placed)
+    ask = lambda given, c: F.when(F.col(given).isNull(), F.col(c))
+    levels = pairs.withColumn("n", _name_level(ask("known", "name_a"), ask("known", "name_b"), "cut_a", "cut_b")).withColumn("p", _place_level(ask("placed", "place_a"), ask("placed", "place_b")))
+    days, gap = F.datediff("date_a", "date_b") != 0, F.abs(F.col("nights_a") - F.col("nights_b"))
+    t = at["term"]
+    term = F.when(gap.isNull() & ~days, t["night unknown"]).when(gap.isNull(), t["near, night unknown"]).when((gap == 0) & ~days, t["same"]).when((gap > 0) & days, t["both near"]).otherwise(t["near"])
+    out = levels.select(
+        "id_a", "id_b", "source_a", "source_b", F.coalesce("known", "n").alias("name"), F.coalesce("placed", "p").alias("place"), term.alias("term"),
+        F.when(F.col("name_a") == "", F.col("id_a")).when(F.col("name_b") == "", F.col("id_b")).alias("unnamed"), F.when((F.col("name_a") == "") | (F.col("name_b") == ""), F.substring(F.concat("name_a", "name_b"), 1, 3)).alias("stay"),
+    )
+    return out.filter("name >= 0")
 
-@F.pandas_udf(T.DoubleType())
-def _place_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([WEIGHTS["place"][compare_places(x, y)] for x, y in zip(a, b, strict=True)], dtype="float64")
 
+def _scored(levels: DataFrame) -> DataFrame:
+    """``(id_a, id_b, source_a, source_b, u)``: log-odds of each candidate.
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """``(id_a, id_b, source_a, source_b, u)``: log-odds of each candidate; hopeless ones are left out."""
-    days = F.abs(F.datediff("date_a", "date_b"))
-    gap = F.abs(F.col("nights_a") - F.col("nights_b"))
-    when = F.when(days == 0, WEIGHTS["date"]["same"]).otherwise(WEIGHTS["date"]["near"])
-    stay = F.when(gap.isNull(), WEIGHTS["nights"]["unknown"]).when(gap == 0, WEIGHTS["nights"]["same"]).otherwise(WEIGHTS["nights"]["near"])
-    both = F.when((days > 0) & (gap > 0), WEIGHTS["both_near"]).otherwise(0.0)
-    scored = pairs.withColumn("n", _name_score("words_a", "words_b", "cut_a", "cut_b")).withColumn("p", _place_score("place_a", "place_b"))
-    scored = scored.withColumn("u", F.col("n") + F.col("p") + when + stay + both + WEIGHTS["prior"])
-    # A row whose name isn't known fits every stay of its place and days: each of them gets its share of the odds.
-    unnamed = F.when(F.size("words_a") == 0, F.col("id_a")).when(F.size("words_b") == 0, F.col("id_b"))
-    known = F.when(F.size("words_a") == 0, F.get("words_b", F.lit(0))).otherwise(F.get("words_a", F.lit(0)))
-    scored = scored.withColumn("unnamed", unnamed).withColumn("stay", F.when(unnamed.isNotNull(), F.substring(known, 1, 3)))
+    A row whose name isn't known fits every stay of its place and days: each of them gets its share of the odds.
+    """
+    u = F.lit(PRIOR)
+    for field, weights in LEVELS.items():
+        u = u + F.get(F.array(*[F.lit(w) for w in weights.values()]), F.col(field))
+    scored = levels.withColumn("u", u)
     named, open_ = scored.filter("unnamed is null"), scored.filter("unnamed is not null")
     stays = open_.groupBy("unnamed").agg(F.count_distinct("stay").alias("stays"))
-    open_ = open_.join(stays, "unnamed").withColumn("u", F.col("u") - 2 * F.log("stays"))
+    open_ = open_.join(stays.hint("shuffle_merge"), "unnamed").withColumn("u", F.col("u") - 2 * F.log("stays"))
     columns = ["id_a", "id_b", "source_a", "source_b", "u"]
-    return named.select(*columns).unionByName(open_.select(*columns)).filter("u > -4")
+    return named.select(*columns).unionByName(open_.select(*columns))
+
+
+def groups_of(links: DataFrame) -> DataFrame:
+    """``(id, head)``: the least id of each record's connected group, by handing heads on until none changes."""
+    both = cut(links.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(links.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))))
+    heads = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("head"))
+    while True:
+        near = both.join(heads.select(F.col("x").alias("y"), F.col("head").alias("theirs")).hint("shuffle_merge"), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
+        after = cut(heads.join(near.hint("shuffle_merge"), "x").select("x", F.least("head", "theirs").alias("head"), (F.col("theirs") < F.col("head")).alias("moved")))
+        heads = after.select("x", "head")
+        if after.filter("moved").isEmpty():
+            return heads.withColumnRenamed("x", "id")
 
 
-def propagate(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 25, damping: float = 0.3) -> DataFrame:
-    """``(id_a, id_b, belief)`` of ``(id_a, id_b, group_a, group_b, source_a, source_b, u)``: sum-product with one-to-one factors.
+def propagate(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 300, damping: float = 0.3) -> DataFrame:
+    """``(id_a, id_b, belief, converged)`` of ``(id_a, id_b, group_a, group_b, source_a, source_b, u)``: sum-product with one-to-one factors.
 
     A factor stands for a record and another source: of the records that it could match there, one group at most is
     the true one (copies that a source holds of one stay are one group and don't compete). The message of a factor to
     a pair is minus log(1 + the odds of the other groups); a pair's message to one of its two factors is its log-odds
-    plus the other factor's message. Messages of a round come from a join of the pairs with the factors' totals; rounds
-    go on until no message moves by ``tolerance``. Pairs of factors with one group have no rival and are left out of
-    the rounds. Groups are small (candidates of one record in one source), whatever the number of pairs.
+    plus the other factor's message. Rounds go on until no message moves by ``tolerance``; ``converged`` says whether a
+    pair's did, which is false only for pairs that still move after ``most_rounds``. Pairs of factors with one group
+    have no rival and are left out of the rounds.
+
+    A round shuffles the pairs by one record and then by the other; the sums of a factor are windows over its record's
+    candidates, so no side is ever broadcast. ``STRIDE`` rounds are one job, whose result is written before the next.
     """
-    sides = [("a", "b"), ("b", "a")]
+    def factors(df: DataFrame, me: str, other: str) -> DataFrame:
+        """The messages of the factors of side ``me`` and another source to their pairs, as ``new_me``."""
+        of_factor = Window.partitionBy(f"id_{me}", f"source_{other}")
+        of_group = Window.partitionBy(f"id_{me}", f"source_{other}", f"group_{other}")
+        # Odds that enter this record's factor: the pair's own and what the other side's factor said.
+        df = df.repartition(f"id_{me}").withColumn("o", F.exp(F.least(F.col("u") + F.col(f"to_{other}"), F.lit(50.0))))
+        df = df.withColumn("o", F.max("o").over(of_group)).withColumn("share", F.col("o") / F.count(F.lit(1)).over(of_group))
+        return df.withColumn(f"new_{me}", -F.log1p(F.greatest(F.sum("share").over(of_factor) - F.col("o"), F.lit(0.0)))).drop("o", "share")
+
     state = pairs.withColumn("to_a", F.lit(0.0)).withColumn("to_b", F.lit(0.0))
-    for me, other in sides:
-        n = pairs.groupBy(F.col(f"id_{me}"), F.col(f"source_{other}")).agg((F.min(f"group_{other}") != F.max(f"group_{other}")).alias(f"rival_{me}"))
-        state = state.join(n, [f"id_{me}", f"source_{other}"])
-    state = cut(state)
-    contested = state.filter("rival_a or rival_b")
+    for me, other in (("a", "b"), ("b", "a")):
+        of_factor = Window.partitionBy(f"id_{me}", f"source_{other}")
+        state = state.repartition(f"id_{me}").withColumn(f"rival_{me}", F.min(f"group_{other}").over(of_factor) != F.max(f"group_{other}").over(of_factor))
+    state = cut(state.withColumn("moved", F.lit(0.0)))
     calm = state.filter("not (rival_a or rival_b)")
-    moving = contested
-    for _ in range(most_rounds):
-        after = moving
-        for me, other in sides:
-            # Odds that enter this record's factor: the pair's own and what the other side's factor said.
-            odds = F.exp(F.least(F.col("u") + F.col(f"to_{other}"), F.lit(50.0)))
-            options = moving.groupBy(f"id_{me}", f"source_{other}", f"group_{other}").agg(F.max(odds).alias("o"))
-            totals = options.groupBy(f"id_{me}", f"source_{other}").agg(F.sum("o").alias("t"))
-            own = options.join(totals, [f"id_{me}", f"source_{other}"]).withColumn(f"new_{me}", -F.log1p(F.greatest(F.col("t") - F.col("o"), F.lit(0.0))))
-            after = after.join(own.select(f"id_{me}", f"source_{other}", f"group_{other}", f"new_{me}"), [f"id_{me}", f"source_{other}", f"group_{other}"])
-        for me, _other in sides:
-            after = after.withColumn(f"new_{me}", F.lit(damping) * F.col(f"to_{me}") + F.lit(1 - damping) * F.col(f"new_{me}"))
-        after = cut(after)
-        moved = after.agg(F.max(F.greatest(F.abs(F.col("new_a") - F.col("to_a")), F.abs(F.col("new_b") - F.col("to_b"))))).first()[0]
-        moving = after.drop("to_a", "to_b").withColumnsRenamed({"new_a": "to_a", "new_b": "to_b"})
+    moving = state.filter("rival_a or rival_b")
+    for _ in range(0, most_rounds, STRIDE):
+        for _ in range(STRIDE):
+            after = factors(factors(moving, "a", "b"), "b", "a")
+            for me in ("a", "b"):
+                after = after.withColumn(f"new_{me}", F.lit(damping) * F.col(f"to_{me}") + F.lit(1 - damping) * F.col(f"new_{me}"))
+            after = after.withColumn("moved", F.greatest(F.abs(F.col("new_a") - F.col("to_a")), F.abs(F.col("new_b") - F.col("to_b"))))
+            moving = after.drop("to_a", "to_b").withColumnsRenamed({"new_a": "to_a", "new_b": "to_b"})
+        moving = cut(moving)
+        moved = moving.agg(F.max("moved")).first()[0]
         if moved is None or moved < tolerance:
             break
-    columns = ["id_a", "id_b", "u", "to_a", "to_b"]
-    return calm.select(*columns).unionByName(moving.select(*columns)).select("id_a", "id_b", (1 / (1 + F.exp(-(F.col("u") + F.col("to_a") + F.col("to_b"))))).alias("belief"))
+    columns = ["id_a", "id_b", "u", "to_a", "to_b", "moved"]
+    belief = 1 / (1 + F.exp(-(F.col("u") + F.col("to_a") + F.col("to_b"))))
+    return calm.select(*columns).unionByName(moving.select(*columns)).select("id_a", "id_b", belief.alias("belief"), (F.col("moved") < tolerance).alias("converged"))
+
+
+#: Rounds of messages between two looks at whether they still move.
+STRIDE = 4
 
 
 def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: str = "title", place: str = "locality", date: str = "departure_date", nights: str = "nights") -> DataFrame:
-    """``(id_a, id_b, belief)``, id_a < id_b, of pairs of different sources that may be the same stay.
+    """``(id_a, id_b, belief, converged)``, id_a < id_b, of pairs of different sources that may be the same stay.
 
     Only the four attributes count. A row without a date is in no pair; unknown nights or place are compatible with
     anything but prove nothing, and an unknown name (a placeholder title, or nothing left of it) is held against a
     pair. Names compare word by word: slips of one letter or two, other order, words run together, cut and abbreviated
-    words are forgiven, a word more or another word is another hotel. Repeated ids count once; equal rows under
-    different ids pair like any others. An empty table gives an empty result.
+    words are forgiven, a word more or another word is another hotel and no candidate. Repeated ids count once; equal
+    rows under different ids pair like any others. An empty table gives an empty result.
     """
-    rows = _features(df, key, source, title, place, date, nights).dropDuplicates(["id"])
-    scored = cut(_scored(cut(_candidates(rows))))
-    copies = scored.filter("source_a = source_b and u > 2")
-    heads = copies.select(F.col("id_a").alias("id"), F.col("id_a").alias("head")).unionByName(copies.select(F.col("id_b").alias("id"), F.col("id_a").alias("head"))).groupBy("id").agg(F.min("head").alias("head"))
+    rows = cut(_features(df, key, source, title, place, date, nights).dropDuplicates(["id"]))
+    scored = cut(_scored(cut(_compared(_candidates(rows), rows))))
+    heads = groups_of(scored.filter("source_a = source_b and u > 2"))
     pairs = scored.filter("source_a <> source_b")
     for me in ("a", "b"):
-        pairs = pairs.join(heads.select(F.col("id").alias(f"id_{me}"), F.col("head").alias(f"head_{me}")), f"id_{me}", "left").withColumn(f"group_{me}", F.coalesce(f"head_{me}", f"id_{me}")).drop(f"head_{me}")
+        own = heads.select(F.col("id").alias(f"id_{me}"), F.col("head").alias(f"head_{me}")).hint("shuffle_merge")
+        pairs = pairs.join(own, f"id_{me}", "left").withColumn(f"group_{me}", F.coalesce(f"head_{me}", f"id_{me}")).drop(f"head_{me}")
     return propagate(pairs)

@@ -20,9 +20,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of offers with their marginal match probability."""
+    """Candidate pairs of offers with their marginal match probability, and whether its messages came to rest."""
     found = match_stays(table(spark, sf_dir, "offers"))
-    return found.select(F.col("id_a").cast("long").alias("offer_id_a"), F.col("id_b").cast("long").alias("offer_id_b"), "belief")
+    return found.select(F.col("id_a").cast("long").alias("offer_id_a"), F.col("id_b").cast("long").alias("offer_id_b"), "belief", "converged")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,46 @@ def test_propagation_against_enumeration(spark):
         assert got[e] == pytest.approx(marginal[e] / total, abs=2e-3)
 
 
+def test_propagation_on_a_loop_says_that_it_converged(spark):
+    """Two records and two rivals, all four pairs: a loop; equal odds leave equal beliefs below a half."""
+    rows = [(a, b, a, b, "s", "t", 1.0) for a in (1, 2) for b in (11, 12)]
+    schema = "id_a long, id_b long, group_a long, group_b long, source_a string, source_b string, u double"
+    got = M.propagate(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 4 and all(r.converged for r in got) and len({round(r.belief, 3) for r in got}) == 1 and got[0].belief < 0.5
+    cut_short = M.propagate(spark.createDataFrame(rows, schema), tolerance=1e-12, most_rounds=1).collect()
+    assert not any(r.converged for r in cut_short)
+    assert M.propagate(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_groups_of_chained_copies(spark):
+    links = [(5, 4), (4, 9), (9, 2), (20, 21), (30, 31), (31, 32), (32, 33), (33, 34), (34, 29)]
+    df = spark.createDataFrame([(min(p), max(p)) for p in links], "id_a long, id_b long")
+    got = {r.id: r.head for r in M.groups_of(df).collect()}
+    assert got == {2: 2, 4: 2, 5: 2, 9: 2, 20: 20, 21: 20, 29: 29, 30: 29, 31: 29, 32: 29, 33: 29, 34: 29}
+    assert M.groups_of(df.limit(0)).count() == 0
+
+
+def test_matching_broadcasts_nothing(spark, capsys):
+    """However small a side looks, no join of the matching may broadcast it: what is small compressed may not be so in memory."""
+    seen = []
+    from sojourn.llm import matching
+
+    def keep(df, cut=matching.cut):
+        out = cut(df)
+        df.explain()
+        seen.append(capsys.readouterr().out)
+        return out
+
+    matching.cut, before = keep, matching.cut
+    try:
+        rows = [(i, "abc"[i % 3], f"Vikskagys {'Coral' if i % 2 else 'Annex'}", "Nea", DAY, 7) for i in range(30)]
+        M.match_stays(_offers(spark, rows)).explain()
+    finally:
+        matching.cut = before
+    plans = "".join(seen) + capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
+
+
 # --- p5
 
 
