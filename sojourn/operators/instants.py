@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import zoneinfo
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,8 @@ ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "C
 ZONE_ALIASES = {"America/Punta_Cana": "America/Santo_Domingo"}
 
 DAY_US = 86_400_000_000
+#: From so many years on the zones' segments aren't broadcast.
+BROADCAST_YEARS = 8
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,24 @@ class Form:
 
     pattern: str
     parts: tuple[str, ...]
+    #: What a text of this form has for certain, told without a regular expression.
+    sign: Callable[[Column], Column]
+
+
+def _at(place: int, *chars: str) -> Callable[[Column], Column]:
+    return lambda t: F.substring(t, place, 1).isin(*chars)
+
+
+def _long(*sizes: int) -> Callable[[Column], Column]:
+    return lambda t: F.length(t).isin(*sizes)
+
+
+def _digit(place: int) -> Callable[[Column], Column]:
+    return lambda t: F.substring(t, place, 1).between("0", "9")
+
+
+def _has(text: str) -> Callable[[Column], Column]:
+    return lambda t: F.contains(t, F.lit(text))
 
 
 _CLOCK = r"(\d{1,2})[:.](\d{2})"
@@ -43,20 +64,20 @@ _WEEKDAY = r"(?:\p{L}{2,3}\.?\s+)?"
 _OFF = r"(Z|UTC|GMT|WES?T|CES?T|EES?T|MSK|[+-]\d{2}:?\d{2})"
 
 FORMS = (
-    Form(r"^(\d{13})$", ("ms",)),
-    Form(r"^(\d{10})$", ("sec",)),
-    Form(r"^(\d{4})-W(\d{2})-(\d)$", ("y", "week", "wd")),
-    Form(r"^(\d{4})-(\d{3})$", ("y", "doy")),
-    Form(rf"^(\d{{4}})[-/]?(\d{{2}})[-/]?(\d{{2}})(?:(?:T|\s)?(\d{{2}}):?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?)?\s*{_OFF}?(?:\[([A-Za-z0-9_+/-]+)\])?$", ("y", "mo", "d", "h", "mi", "s", "frac", "off", "zone")),
-    Form(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", ("d", "mo", "y")),
-    Form(rf"^\p{{L}}{{3}},\s+(\d{{1,2}})\s+(\p{{L}}{{3}})\s+(\d{{4}})\s+(\d{{2}}):(\d{{2}}):(\d{{2}})\s*{_OFF}$", ("d", "mo", "y", "h", "mi", "s", "off")),
-    Form(r"^(\p{L}{3,})\s+(\d{1,2}),\s*(\d{4})(?:\s+(\d{1,2}):(\d{2})\s*([AaPp])[Mm])?$", ("mo", "d", "y", "h", "mi", "ap")),
-    Form(rf"^(\d{{1,2}})\.\s*(\p{{L}}{{3,}})\s+(\d{{4}})(?:\s+{_CLOCK})?$", ("d", "mo", "y", "h", "mi")),
+    Form(r"^(\d{13})$", ("ms",), _long(13)),
+    Form(r"^(\d{10})$", ("sec",), _long(10)),
+    Form(r"^(\d{4})-W(\d{2})-(\d)$", ("y", "week", "wd"), _at(6, "W")),
+    Form(r"^(\d{4})-(\d{3})$", ("y", "doy"), _long(8)),
+    Form(rf"^(\d{{4}})[-/]?(\d{{2}})[-/]?(\d{{2}})(?:(?:T|\s)?(\d{{2}}):?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?)?\s*{_OFF}?(?:\[([A-Za-z0-9_+/-]+)\])?$", ("y", "mo", "d", "h", "mi", "s", "frac", "off", "zone"), lambda t: _digit(4)(t) & _digit(3)(t) & _digit(1)(t)),
+    Form(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", ("d", "mo", "y"), lambda t: _has("/")(t) & (F.length(t) <= 10)),
+    Form(rf"^\p{{L}}{{3}},\s+(\d{{1,2}})\s+(\p{{L}}{{3}})\s+(\d{{4}})\s+(\d{{2}}):(\d{{2}}):(\d{{2}})\s*{_OFF}$", ("d", "mo", "y", "h", "mi", "s", "off"), _at(4, ",")),
+    Form(r"^(\p{L}{3,})\s+(\d{1,2}),\s*(\d{4})(?:\s+(\d{1,2}):(\d{2})\s*([AaPp])[Mm])?$", ("mo", "d", "y", "h", "mi", "ap"), lambda t: _has(",")(t) & ~_digit(1)(t)),
+    Form(rf"^(\d{{1,2}})\.\s*(\p{{L}}{{3,}})\s+(\d{{4}})(?:\s+{_CLOCK})?$", ("d", "mo", "y", "h", "mi"), lambda t: _digit(1)(t) & (_at(2, ".")(t) | _at(3, ".")(t)) & ~_has("–")(t)),
     # Labels of a departure and a return; only the departure is taken.
-    Form(rf"^(?:odjezd\s+)?{_WEEKDAY}(\d{{1,2}})\.\s*(\d{{1,2}})\.(?:\s*(\d{{4}}|\d{{2}})(?![\d:.]))?(?:\s+(?:v\s+)?{_CLOCK})?", ("d", "mo", "y", "h", "mi")),
-    Form(r"^(\d{1,2})\.\s*[–-]\s*(\d{1,2})\.\s*(\d{1,2})\.(?:\s*(\d{4}|\d{2})(?![\d:.]))?", ("d", "d_end", "mo", "y")),
-    Form(rf"^{_WEEKDAY}(\d{{1,2}})/(\d{{1,2}})(?:/(\d{{4}}))?\s*[–-]", ("d", "mo", "y")),
-    Form(rf"^{_WEEKDAY}(\d{{1,2}})\.?\s+(\p{{L}}+)\.?(?:\s+(\d{{4}}))?\s*[–-]", ("d", "mo", "y")),
+    Form(rf"^(?:odjezd\s+)?{_WEEKDAY}(\d{{1,2}})\.\s*(\d{{1,2}})\.(?:\s*(\d{{4}}|\d{{2}})(?![\d:.]))?(?:\s+(?:v\s+)?{_CLOCK})?", ("d", "mo", "y", "h", "mi"), _has(".")),
+    Form(r"^(\d{1,2})\.\s*[–-]\s*(\d{1,2})\.\s*(\d{1,2})\.(?:\s*(\d{4}|\d{2})(?![\d:.]))?", ("d", "d_end", "mo", "y"), _digit(1)),
+    Form(rf"^{_WEEKDAY}(\d{{1,2}})/(\d{{1,2}})(?:/(\d{{4}}))?\s*[–-]", ("d", "mo", "y"), _has("/")),
+    Form(rf"^{_WEEKDAY}(\d{{1,2}})\.?\s+(\p{{L}}+)\.?(?:\s+(\d{{4}}))?\s*[–-]", ("d", "mo", "y"), _has(" ")),
 )
 #: Day first, without separators; tried where the eight digits are no date with the year first.
 _DAY_FIRST = r"^(\d{2})(\d{2})(\d{4})$"
@@ -67,13 +88,14 @@ _PARTS = ("y", "mo", "d", "h", "mi", "s", "frac", "ap", "off", "zone", "week", "
 def _pieces(text: Column) -> Column:
     """Array of the parts in the order of ``_PARTS`` ('' where not written) by the first form that fits, else null.
 
-    Each form rewrites the text to its parts with bars between them, so that one expression serves all parts.
+    Each form rewrites the text to its parts with bars between them, so that one expression serves all parts. Only forms
+    whose sign a text has are tried.
     """
     chain = F.lit(None).cast("string")
     for form in reversed(FORMS):
         at = {p: i + 1 for i, p in enumerate(form.parts)}
         parts = "|".join(f"${at[p]}" if p in at else "" for p in _PARTS)
-        chain = F.when(text.rlike(form.pattern), F.regexp_replace(text, form.pattern + ".*", parts)).otherwise(chain)
+        chain = F.when(form.sign(text) & text.rlike(form.pattern), F.regexp_replace(text, form.pattern + ".*", parts)).otherwise(chain)
     return F.split(chain, r"\|", -1)
 
 
@@ -83,8 +105,9 @@ def _num(c: Column) -> Column:
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     """Date or null where the calendar has no such day."""
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.isNotNull() & m.between(1, 12) & d.between(1, 31), F.try_to_date(text, "yyyy-MM-dd"))
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return F.when(y.between(1, 9999) & m.between(1, 12) & (d >= 1) & (d <= last), F.make_date(y, m, d))
 
 
 def zone_intervals(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
@@ -99,6 +122,22 @@ def zone_intervals(spark: SparkSession, first_year: int, last_year: int) -> Data
     return spark.createDataFrame(_interval_rows(first_year, last_year), schema)
 
 
+def wall_segments(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """``(zone, month, lo, hi, hits, off)``: :func:`zone_intervals` exploded, overlaps apart.
+
+    Within [lo, hi) of wall time ``hits`` intervals match: 1, or 2 where the hour occurs twice (``off`` is the offset
+    of the first occurrence). Wall times that never occur lie in no segment; a wall time lies in one segment at most.
+    """
+    rows = []
+    for zone, month, spans in _interval_rows(first_year, last_year):
+        edges = sorted({e for lo, hi, _ in spans for e in (lo, hi)})
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            offs = [o for a, z, o in spans if a <= lo and hi <= z]
+            if offs:
+                rows.append((zone, month, lo, hi, len(offs), max(offs)))
+    return spark.createDataFrame(rows, "zone string, month int, lo bigint, hi bigint, hits int, off bigint")
+
+
 @functools.lru_cache(maxsize=4)
 def _interval_rows(first_year: int, last_year: int) -> list[tuple]:
     utc, us = dt.timezone.utc, dt.timedelta(microseconds=1)
@@ -149,8 +188,9 @@ def to_instants(df: DataFrame, text: str, reference: str | None = None, zone: st
     in the offset written with it. A missing year gives the first such day on or after the day of ``reference`` in
     ``zone``. Eight digits are read year first, else day first.
 
-    Every row is looked up once, by (zone, month), in :func:`zone_intervals` (broadcast: bounded by zones x months of
-    ``years``); nothing is shuffled. Added columns replace columns of the same names.
+    Every row is looked up once in :func:`wall_segments`, by zone, month and range. That table has about 600 zones times
+    the months of ``years`` rows; it is broadcast below ``BROADCAST_YEARS`` years (some 4 MB then), else Spark chooses by
+    its size. Added columns replace columns of the same names.
     """
     first_year, last_year = years
     spark = df.sparkSession
@@ -158,7 +198,8 @@ def to_instants(df: DataFrame, text: str, reference: str | None = None, zone: st
     day_first = F.regexp_extract(clean, _DAY_FIRST, 0)
     year_first_ok = F.try_to_date(F.when(day_first != "", clean), "yyyyMMdd")
     swapped = F.when((day_first != "") & ~F.coalesce(F.year(year_first_ok).between(first_year, last_year), F.lit(False)), F.regexp_replace(clean, _DAY_FIRST, "$3-$2-$1")).otherwise(clean)
-    base = df.drop("instant", "instant_status", "instant_wall_us").withColumn("__p", _pieces(swapped))
+    # The text in a column of its own, so that it is cleaned once for all forms.
+    base = df.drop("instant", "instant_status", "instant_wall_us").withColumn("__t", swapped).withColumn("__p", _pieces(F.col("__t")))
     p = {x: F.get("__p", F.lit(i)) for i, x in enumerate(_PARTS)}
     names = F.create_map(*[x for k, v in MONTHS.items() for x in (F.lit(k), F.lit(v))])
     month = F.coalesce(_num(p["mo"]), F.try_element_at(names, F.lower(p["mo"])))
@@ -197,16 +238,20 @@ def to_instants(df: DataFrame, text: str, reference: str | None = None, zone: st
     base = base.withColumn("__w", wall).withColumn("__epoch", epoch).withColumn("__off", F.when(p["zone"] == "", minutes.cast("long") * 60_000_000)).withColumn("__zone", F.when(p["zone"] == "", F.lit(zone)).otherwise(p["zone"]))
     whole = F.date_from_unix_date(F.floor(F.col("__w") / DAY_US).cast("int"))
     base = base.withColumn("__month", F.year(whole) * 12 + F.month(whole) - 1)
-    spans = zone_intervals(spark, first_year, last_year).select(F.col("zone").alias("__zone"), F.col("month").alias("__month"), F.col("spans").alias("__spans"))
-    found = base.join(F.broadcast(spans), ["__zone", "__month"], "left")
-    hits = F.filter("__spans", lambda s: (s["lo"] <= F.col("__w")) & (F.col("__w") < s["hi"]))
-    found = found.withColumn("__hits", F.array_sort(F.transform(hits, lambda s: F.col("__w") - s["off"])))
+    # The as-of join: a wall time lies in one segment of its zone and month, or never occurs.
+    segments = wall_segments(spark, first_year, last_year)
+    segments = segments.select(F.col("zone").alias("__zone_2"), F.col("month").alias("__month_2"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("hits").alias("__hits"), F.col("off").alias("__shift"))
+    if last_year - first_year < BROADCAST_YEARS:
+        segments = F.broadcast(segments)
+    inside = (F.col("__zone") == F.col("__zone_2")) & (F.col("__month") == F.col("__month_2")) & (F.col("__lo") <= F.col("__w")) & (F.col("__w") < F.col("__hi"))
+    found = base.join(segments, inside, "left")
     fixed = F.coalesce(F.col("__epoch"), F.col("__w") - F.col("__off"))
-    instant = F.coalesce(fixed, F.get("__hits", F.lit(0)))
+    instant = F.coalesce(fixed, F.col("__w") - F.col("__shift"))
     in_years = F.year(F.date_from_unix_date(F.floor(F.coalesce(F.col("__w"), F.col("__epoch")) / DAY_US).cast("int"))).between(first_year, last_year)
+    zones = sorted({r[0] for r in _interval_rows(first_year, last_year)})
     status = (
-        F.when(~F.coalesce(in_years, F.lit(False)), "unreadable").when(fixed.isNotNull(), "exact").when(F.col("__spans").isNull(), "unreadable")
-        .when(F.size("__hits") == 0, "nonexistent").when(F.size("__hits") == 1, "exact").otherwise("ambiguous")
+        F.when(~F.coalesce(in_years, F.lit(False)), "unreadable").when(fixed.isNotNull(), "exact").when(~F.col("__zone").isin(*zones), "unreadable")
+        .when(F.col("__hits").isNull(), "nonexistent").when(F.col("__hits") == 1, "exact").otherwise("ambiguous")
     )
     keep = [found[c] for c in base.columns if not c.startswith("__")]
     out = found.select(*keep, instant.alias("__i"), status.alias("instant_status"), F.col("__w").alias("instant_wall_us"))

@@ -16,13 +16,13 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, periods: tup
 
     Days are those of ``at`` in ``zone``; only positive ``value`` counts, but every row with a time makes its day part
     of the span. Rows equal in all of ``same`` (default: all columns) count once. A window without a value has count
-    and sum 0 and a null mean. Rows without a time have no day and count nowhere; a null entity is an entity.
-    ``value`` must be integral: window sums are differences of running sums, exact for integers alone.
+    and sum 0 and a null mean. Rows without a time have no day and count nowhere; a null entity is an entity. Integers
+    are summed as long, decimals exactly, floating-point values as double.
 
-    Aggregate daily, cross each entity with its own calendar, then sum a fixed number of preceding rows. Neither step
-    joins: the calendar days between two active days come out of ``explode(sequence)`` in place. Duplicates are told
-    apart by a fingerprint within (entity, time, value). Partitions are by (entity, day) until the data is one row per
-    active day, so an entity with a third of the rows is spread over its days.
+    Aggregate daily, cross each entity with the calendar of its own span, join the days that have values, and sum a
+    fixed number of preceding rows. Duplicates are told apart by a fingerprint within (entity, time, value). Partitions
+    are by (entity, day) until the data is one row per day, so an entity with a third of the rows is spread over its
+    days; a window's partition holds an entity's days, however many rows it had.
     """
     same = df.columns if same is None else same
     rest = [c for c in same if c not in {entity, at, value}]
@@ -30,18 +30,16 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, periods: tup
     rows = df.filter(df[at].isNotNull()).select(df[entity].alias("entity"), df[at].alias("at"), df[value].alias("value"), F.xxhash64(*[df[c] for c in rest], mask).alias("rest"), local_day(df[at], zone).alias("day"))
     once = rows.repartition("entity", "day").dropDuplicates(["entity", "day", "at", "value", "rest"])
     counts = F.col("value") > 0
-    daily = once.groupBy("entity", "day").agg(F.count(F.when(counts, 1)).alias("n"), F.coalesce(F.sum(F.when(counts, F.col("value").cast("long"))), F.lit(0)).alias("total"))
+    daily = once.groupBy("entity", "day").agg(F.count(F.when(counts, 1)).alias("n"), F.sum(F.when(counts, F.col("value"))).alias("total"))
 
-    of_entity = Window.partitionBy("entity").orderBy("day")
-    until = F.coalesce(F.date_sub(F.lead("day").over(of_entity), 1), F.col("day"))
-    stretch = daily.withColumn("until", until).select("entity", "n", "total", F.col("day").alias("active"), F.explode(F.sequence("day", "until")).alias("day"))
-    quiet = F.col("day") != F.col("active")
-    dense = stretch.select("entity", "day", F.when(quiet, 0).otherwise(F.col("n")).alias("n"), F.when(quiet, 0).otherwise(F.col("total")).alias("total"))
+    spans = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    calendar = spans.select(F.col("entity").alias("e"), F.explode(F.sequence("first", "last")).alias("d"))
+    dense = calendar.join(daily, F.col("e").eqNullSafe(F.col("entity")) & (F.col("d") == F.col("day")), "left")
+    dense = dense.select("e", "d", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0).cast(daily.schema["total"].dataType)).alias("total"))
 
-    running = dense.select("entity", "day", F.sum("n").over(of_entity).alias("cn"), F.sum("total").over(of_entity).alias("ct"))
-    out = [F.col("entity").alias(entity), F.col("day")]
+    out = [F.col("e").alias(entity), F.col("d").alias("day")]
     for p in periods:
-        n = F.col("cn") - F.lag("cn", p, 0).over(of_entity)
-        total = F.col("ct") - F.lag("ct", p, 0).over(of_entity)
+        trailing = Window.partitionBy("e").orderBy("d").rowsBetween(-(p - 1), 0)
+        n, total = F.sum("n").over(trailing), F.sum("total").over(trailing)
         out += [n.alias(f"n_{p}"), total.alias(f"sum_{p}"), F.when(n > 0, total / n).alias(f"mean_{p}")]
-    return running.select(*out)
+    return dense.select(*out)

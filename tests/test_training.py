@@ -8,10 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sojourn.operators.instants import iso_utc, to_instants, zone_intervals
+from sojourn.operators.instants import iso_utc, to_instants, wall_segments, zone_intervals
 from sojourn.operators.rolling import rolling_totals
 from sojourn.operators.snapshot_diff import snapshot_changes
-from sojourn.operators.units import nights_in, number_in, people_in, per_person_for_stay, tidy, to_common, totals_in_other_units
+from sojourn.operators.units import in_base_unit, nights_in, number_in, people_in, per_person_for_stay, tidy, to_common, totals_in_other_units
 
 SNAP = "snapshot_no int, delivered_at timestamp, id long, title string, stars double, active boolean, last_seen_at timestamp, key string, hash string, idx int"
 
@@ -155,3 +155,46 @@ def test_totals_in_other_units(spark):
     df = spark.createDataFrame([(1, 20000, 10000), (2, 797, 10000), (3, 2000000, 10000), (4, 20, 10000), (5, 312500, 10000), (6, None, 10000), (7, 5, 0), (8, 123, 10000)], "id int, t int, p int")
     got = {r.id: r.amount for r in totals_in_other_units(df, "t", "p", rates).collect()}
     assert got == {2: 20000, 3: 20000, 4: 20000, 5: 20000}
+
+
+def test_segments_tell_double_and_missing_hours(spark):
+    rows = wall_segments(spark, 2026, 2026).filter("zone = 'Europe/Prague'").collect()
+    hour = 3_600_000_000
+    day = lambda m, d: int(dt.datetime(2026, m, d, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    at = lambda us: [(r.hits, r.off // hour) for r in rows if r.lo <= us < r.hi and r.month == 2026 * 12 + dt.datetime.fromtimestamp(us / 1e6, dt.timezone.utc).month - 1]
+    assert at(day(3, 29) + hour * 5 // 2) == []
+    assert at(day(10, 25) + hour * 5 // 2) == [(2, 2)]
+    assert at(day(3, 29) + 3 * hour) == [(1, 2)] and at(day(1, 1)) == [(1, 1)]
+
+
+def test_rolling_totals_of_fractions(spark):
+    rows = [(1, dt.datetime(2026, 3, d), v) for d, v in ((1, 10.7), (1, 0.5), (4, 2.0))]
+    got = rolling_totals(spark.createDataFrame(rows, "e int, at timestamp, v double"), "e", "at", "v", (2,)).orderBy("day").collect()
+    assert [(r.n_2, r.sum_2) for r in got] == [(2, pytest.approx(11.2)), (2, pytest.approx(11.2)), (0, 0), (1, 2.0)]
+    exact = rolling_totals(spark.createDataFrame(rows, "e int, at timestamp, v double").withColumn("v", F.col("v").cast("decimal(9,2)")), "e", "at", "v", (2,))
+    assert [str(r.sum_2) for r in exact.orderBy("day").collect()] == ["11.20", "11.20", "0.00", "2.00"]
+    assert rolling_totals(spark.createDataFrame([], "e int, at timestamp, v double"), "e", "at", "v").count() == 0
+
+
+def test_units_with_offset_and_field(spark):
+    """Kelvin from text, field and default; a field that names no unit leaves it to the text."""
+    units = spark.createDataFrame([("°c", "1", "273.15"), ("°f", "0.55555556", "255.37222222"), ("k", "1", "0")], "alias string, factor string, offset string")
+    units = units.select("alias", F.col("factor").cast("decimal(20,8)").alias("factor"), F.col("offset").cast("decimal(20,8)").alias("offset"))
+    rows = [("20 °C", None, 293.15), ("-40 °F", None, 233.15), ("300", None, 300.0), ("68", "°F", 293.15), ("20 °C", "?", 293.15), ("0 °C", "K", 0.0), ("cold", None, None), (None, "K", None)]
+    df = spark.createDataFrame([(i, t, f, "x") for i, (t, f, _) in enumerate(rows)], "i int, t string, f string, amount string")
+    got = {r.i: r.amount for r in in_base_unit(df, "t", units, "k", "f", r"(°c|°f|(?<!\p{L})k(?!\p{L}))", signed=True).collect()}
+    for i, (_, _, want) in enumerate(rows):
+        assert got[i] is None if want is None else float(got[i]) == pytest.approx(want, abs=1e-4)
+
+
+def test_small_totals_in_other_units(spark):
+    """Every unit and multiple from one piece on, against trying them all."""
+    rates = spark.createDataFrame(RATES, "currency string, units int, czk double")
+    rows = [(t, p) for t in (1, 2, 3, 7, 40, 799) for p in (1, 13, 24, 26, 38, 63, 79, 1003)]
+    got = {(r.t, r.p): r.amount for r in totals_in_other_units(spark.createDataFrame(rows, "t int, p int"), "t", "p", rates).collect()}
+    factors = [25.1, 0.064, 1000, 0.01]
+    for t, p in rows:
+        ways = [(abs(t - p * k / f), k) for f in factors for k in range(1, 5)]
+        off, k = min(ways)
+        want = None if (t % p == 0 and t // p <= 4) or off > 0.5 + 1e-6 else k * p
+        assert got.get((t, p)) == want
