@@ -19,8 +19,8 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, periods: tup
     and sum 0 and a null mean. Rows without a time have no day and count nowhere; a null entity is an entity. Integers
     are summed as long, decimals exactly, floating-point values as double.
 
-    Aggregate daily, cross each entity with the calendar of its own span, join the days that have values, and sum a
-    fixed number of preceding rows. Duplicates are told apart by a fingerprint within (entity, time, value). Partitions
+    Aggregate daily, cross each entity with the calendar of its own span, put the days that have values to the empty
+    ones, and sum a fixed number of preceding rows. Duplicates are told apart by a fingerprint within (entity, time, value). Partitions
     are by (entity, day) until the data is one row per day, so an entity with a third of the rows is spread over its
     days; a window's partition holds an entity's days, however many rows it had.
     """
@@ -32,10 +32,14 @@ def rolling_totals(df: DataFrame, entity: str, at: str, value: str, periods: tup
     counts = F.col("value") > 0
     daily = once.groupBy("entity", "day").agg(F.count(F.when(counts, 1)).alias("n"), F.sum(F.when(counts, F.col("value"))).alias("total"))
 
-    spans = daily.groupBy("entity").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    calendar = spans.select(F.col("entity").alias("e"), F.explode(F.sequence("first", "last")).alias("d"))
-    dense = calendar.join(daily, F.col("e").eqNullSafe(F.col("entity")) & (F.col("d") == F.col("day")), "left")
-    dense = dense.select("e", "d", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0).cast(daily.schema["total"].dataType)).alias("total"))
+    # Spans come from the rows themselves: least and greatest day are combined before the shuffle.
+    spans = df.filter(df[at].isNotNull()).select(df[entity].alias("e"), local_day(df[at], zone).alias("day")).groupBy("e").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    kind = daily.schema["total"].dataType
+    calendar = spans.select("e", F.explode(F.sequence("first", "last")).alias("d"), F.lit(0).cast("long").alias("n"), F.lit(0).cast(kind).alias("total"))
+    # An empty day and perhaps one with values meet by entity, where the windows run: one shuffle serves both.
+    active = daily.select(F.col("entity").alias("e"), F.col("day").alias("d"), "n", F.coalesce("total", F.lit(0).cast(kind)).alias("total"))
+    both = calendar.unionByName(active).repartition("e")
+    dense = both.groupBy("e", "d").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
     out = [F.col("e").alias(entity), F.col("d").alias("day")]
     for p in periods:
