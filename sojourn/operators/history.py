@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sojourn.operators.ranks import with_previous
 from sojourn.operators.rolling import local_day
+from sojourn.session import cut
 
 
 def latest(df: DataFrame, key: str, by: str, columns: list[str]) -> DataFrame:
@@ -60,9 +62,9 @@ def last_points(df: DataFrame, key: str, by: str, value: str, points: int = 14)
 
 
 def moves(df: DataFrame, key: str, by: str, price: str) -> DataFrame:
-    """Rows whose price differs from the one before, with that price."""
-    w = Window.partitionBy(key).orderBy(by)
-    return df.select(key, by, price, F.lag(price).over(w).alias("previous")).filter(F.col("previous") != F.col(price))
+    """Rows whose price differs from the one before, with that price; a key with most of the rows is split."""
+    rows = with_previous(df.select(key, by, price), key, by, [price], "__last")
+    return rows.select(key, by, price, F.col("__last").getField(price).alias("previous")).filter(F.col("previous") != F.col(price))
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -107,11 +109,18 @@ def heartbeat(df: DataFrame, key: str, by: str, at: str, price: str, days: float
 
     A run of rows of one price begins with a written row whatever was before, so runs are independent of each other:
     rows are partitioned by (key, run), not by key, and each task folds its sorted rows as they stream by, holding
-    one run's last written time.
+    one run's last written time. The row before comes from range partitions (:func:`with_previous`), and so does the
+    start of a row's run: the last start at or before it in its partition, else in those before.
     """
-    w = Window.partitionBy(key).orderBy(by)
-    changed = F.coalesce(F.lag(price).over(w) != F.col(price), F.lit(True))
-    runs = df.select(F.col(key).alias("k"), F.col(by).alias("b"), F.unix_micros(at).alias("t"), F.col(price).alias("p"), F.sum(changed.cast("int")).over(w).alias("run"))
+    rows = with_previous(df.select(F.col(key).alias("k"), F.col(by).alias("b"), F.unix_micros(at).alias("t"), F.col(price).alias("p")), "k", "b", ["p"], "last")
+    starts = rows.withColumn("start", F.when(F.col("last").isNull() | ~F.col("last.p").eqNullSafe(F.col("p")), F.col("b"))).drop("last")
+    placed = cut(starts.repartitionByRange("k", "b").withColumn("part", F.spark_partition_id()))
+    edges = placed.groupBy("k", "part").agg(F.max("start").alias("edge"))
+    before = F.max("edge").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(F.col("k").alias("k2"), F.col("part").alias("part2"), before.alias("before"))
+    inside = F.max("start").over(Window.partitionBy("part", "k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    runs = placed.withColumn("inside", inside).join(edges, F.col("k").eqNullSafe(F.col("k2")) & (F.col("part") == F.col("part2")))
+    runs = runs.select("k", "b", "t", "p", F.coalesce("inside", "before").alias("run"))
     sorted_runs = runs.repartition("k", "run").sortWithinPartitions("k", "run", "b")
     gap = int(days * 86_400_000_000)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, price, by)}
@@ -121,6 +130,7 @@ def heartbeat(df: DataFrame, key: str, by: str, at: str, price: str, days: float
         for batch in batches:
             kept = []
             for k, r, t in zip(batch["k"].tolist(), batch["run"].tolist(), batch["t"].tolist(), strict=True):
+                k = None if k != k else k  # a null key among numbers
                 writes = (k, r) != run or t - last > gap
                 if writes:
                     run, last = (k, r), t

@@ -45,3 +45,21 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")
+
+
+def with_previous(df: DataFrame, key: str, by: str, columns: list[str], name: str) -> DataFrame:
+    """``df`` plus ``name``: a struct of ``columns`` of the row before in ``key`` by ``by`` (which should leave no ties), null for the first.
+
+    Rows are range-partitioned by key and ``by``, so a key with most of the rows lies over many partitions. Within one,
+    the row before is a ``lag``; the first row of a key in a partition gets the key's last row of the partitions before,
+    of which there is one per key and partition. Null keys are a key. The partitions are written to the shared folder
+    first: rows and edges must see the same ones.
+    """
+    placed = cut(df.repartitionByRange(key, by).withColumn("__part", F.spark_partition_id()))
+    row = F.struct(*columns)
+    edges = placed.groupBy(key, "__part").agg(F.max_by(row, by).alias("__edge"))
+    before = F.lag("__edge").over(Window.partitionBy(key).orderBy("__part"))
+    edges = edges.select(F.col(key).alias("__k"), F.col("__part").alias("__p"), before.alias("__before"))
+    inside = F.lag(row).over(Window.partitionBy("__part", key).orderBy(by))
+    out = placed.withColumn("__inside", inside).join(edges, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__part") == F.col("__p")))
+    return out.select(*df.columns, F.coalesce("__inside", "__before").alias(name))

@@ -16,7 +16,7 @@ from sojourn.operators import criteria as C
 from sojourn.operators import history as H
 from sojourn.operators import ingest as I
 from sojourn.operators import peers as P
-from sojourn.operators.ranks import number_rows, values_at_ranks
+from sojourn.operators.ranks import number_rows, values_at_ranks, with_previous
 from sojourn.operators.view import View
 from sojourn.sources import lookups, packages, payloads
 from sojourn.streaming.heartbeat import heartbeat_stream
@@ -292,3 +292,25 @@ def test_number_rows(spark):
     df = spark.range(5000).selectExpr("(id * 7919) % 5000 as k", "id as name").repartition(7)
     assert [(r.k, r.n) for r in number_rows(df, ["k"], "n").orderBy("k").collect()] == [(k, k + 1) for k in range(5000)]
     assert number_rows(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_previous_row_over_partitions(spark):
+    """A key with most of the rows, small keys and a null key, cut at many places: the row before is that of a plain sort."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, rng.choice([5, 5, 6, None])) for i in rng.sample(range(10_000), 400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k int, id int, v int").repartition(5)
+        got = {r.id: (r.b is None, r.b and r.b.v) for r in with_previous(df, "k", "id", ["v"], "b").collect()}
+        beats = {r.id for r in H.heartbeat(df.withColumn("at", F.timestamp_micros(F.col("id").cast("long") * 3_600_000_000)), "k", "id", "at", "v", days=2.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    last, written, kept = {}, {}, set()
+    for k, i, v in sorted(rows, key=lambda r: r[1]):
+        assert got[i] == (k not in last, last.get(k))
+        if k not in written or last[k] != v or i - written[k] > 48:
+            written[k] = i
+            kept.add(i)
+        last[k] = v
+    assert beats == kept
+    assert with_previous(df.limit(0), "k", "id", ["v"], "b").count() == 0
