@@ -107,23 +107,24 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int, seed: int) ->
     return pd.DataFrame(out, columns=columns)
 
 
-def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000, block_tokens: int = 200_000, most_blocks: int = 4096, seed: int = 17, path: str = VOCABULARY, least_shards: int = 1) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000, block_tokens: int = 200_000, most_blocks: int = 4096, seed: int = 17, path: str = VOCABULARY, least_shards: int = 32) -> DataFrame:
     """``(doc_id, source, copy, shard, position, tokens)``: the mixed corpus, by output shard.
 
-    Sources are compared by :func:`source_name`. Texts fetched again under a new id are one document (the one of the
-    smallest id), so that none is used more than ``max_repeats`` times; null sources, empty texts and sources without
+    Sources are compared by :func:`source_name`. Texts fetched again under a new id (told by a 256-bit digest) are one
+    document (the one of the smallest id), so that none is used more than ``max_repeats`` times; null sources, empty texts and sources without
     a target are not used. Each source's documents fall into blocks of about ``block_tokens`` (64 to ``most_blocks`` a
     source) by a hash; only the blocks' token totals, at most sources times ``most_blocks`` numbers, reach the driver,
     and as many assignments per pass are joined back. There are as many shards as hold about ``shard_tokens`` each, so
-    that ordering a shard (ids alone) stays a small task, and at least ``least_shards``. ``position`` is a random order within the shard. The same
+    that ordering a shard (ids alone) stays a small task, and ``least_shards`` at least, so that the tree deals the
+    blocks whatever the corpus' size. ``position`` is a random order within the shard. The same
     input and seed give the same mixture.
     """
     spark = documents.sparkSession
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text", F.xxhash64("text").alias("h"), F.length("text").alias("l")).join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
+    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text", F.sha2("text", 256).alias("h")).join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
     # Texts are counted where they lie; only ids, sizes and fingerprints are shuffled to find texts fetched again.
-    counted = count_tokens(wanted, "text", ["doc_id", "source", "h", "l"], path).filter("tokens > 0")
-    sized = cut(counted.groupBy("source", "h", "l").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")).drop("h", "l"))
+    counted = count_tokens(wanted, "text", ["doc_id", "source", "h"], path).filter("tokens > 0")
+    sized = cut(counted.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")).drop("h"))
     per_source = {r["source"]: r["tokens"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     blocks = F.lit(64)
     for source, tokens in per_source.items():
@@ -134,8 +135,8 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000
     rows = plan(totals, goals.toPandas(), shards, seed)
     schema = "source string, block int, copy int, shard int, upto long"
     assigned = spark.createDataFrame([tuple(None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in r) for r in rows.itertuples(index=False)], schema)
-    # At most sources x blocks x repeats rows of five small values, whatever the corpus.
-    drawn = sized.join(F.broadcast(assigned), ["source", "block"]).withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
+    # Sources x blocks x passes rows of five small values, whatever the corpus; it is broadcast only up to a million.
+    drawn = sized.join(F.broadcast(assigned) if len(rows) <= 1_000_000 else assigned, ["source", "block"]).withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed + 1)))
     whole = drawn.filter("upto is null")
     partial = drawn.filter("upto is not null")
     running = F.sum("tokens").over(Window.partitionBy("source", "block", "copy").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))

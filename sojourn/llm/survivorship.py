@@ -18,16 +18,15 @@ class Field:
     better: tuple[Column, ...]
 
 
-def survivors(df: DataFrame, key: str, fields: list[Field], least: int = 2, weight: Column | None = None) -> DataFrame:
+def survivors(df: DataFrame, key: str, fields: list[Field], least: int = 2) -> DataFrame:
     """``(key, one column per field)`` for each ``key`` of ``least`` members or more, in one aggregation.
 
     For each field the greatest of (usable, better..., value) wins; among equals the greatest value, so the result
     doesn't depend on the order of rows. A field that no member can fill is null. Rows of a null key belong to no
-    group. ``weight`` is the number of members that a row stands for (default 1; 0 for rows that only bring values).
-    The maximum is taken before the shuffle as well, so a group with a third of all rows comes as one row per task.
+    group. The maximum is taken before the shuffle as well, so a group with a third of all rows comes as one row per task.
     """
     structs = [F.max(F.struct(F.coalesce(f.usable, F.lit(False)).alias("usable"), *[b.alias(f"b{i}") for i, b in enumerate(f.better)], f.value.alias("value"))).alias(f.name) for f in fields]
-    grouped = df.filter(df[key].isNotNull()).groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("__members"), *structs)
+    grouped = df.filter(df[key].isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__members"), *structs)
     return grouped.filter(F.col("__members") >= least).select(key, *[F.when(F.col(f"{f.name}.usable"), F.col(f"{f.name}.value")).alias(f.name) for f in fields])
 
 
