@@ -163,6 +163,44 @@ def compact_date(text: Column) -> Column:
     return F.try_to_date(text, "yyyyMMdd")
 
 
+def nights_between(first: Column, last: Column, days: Column) -> Column:
+    """Nights between two days written as yyyyMMdd, else days less one; null if none is left."""
+    n = F.coalesce(F.datediff(compact_date(last), compact_date(first)), days - 1)
+    return F.when(n > 0, n.cast("int"))
+
+
+#: Fixed value: how a label writes a day and a month.
+LABEL_DAY = r"(\d{1,2})\.\s*(\d{1,2})\."
+
+
+def trip_of_label(text: Column, now: Column) -> tuple[Column, Column]:
+    """Departure and nights of a label with two "d. m." and no year.
+
+    A month before that of ``now`` lies in the next year; an end in an earlier month than the start in the year after
+    it. Both are null where the label has fewer than two days, and nights where the end isn't after the start.
+    """
+    days, months = (F.regexp_extract_all(text, F.lit(LABEL_DAY), F.lit(k)) for k in (1, 2))
+    d1, d2, m1, m2 = (F.get(x, F.lit(k)).try_cast("int") for x in (days, months) for k in (0, 1))
+    year = F.year(prague_day(now)) + F.when(m1 < F.month(prague_day(now)), 1).otherwise(0)
+    date = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    start, end = date(year, m1, d1), date(year + F.when(m2 < m1, 1).otherwise(0), m2, d2)
+    both = F.size(days) >= 2
+    return F.when(both, start), F.when(both & (end > start), F.datediff(end, start))
+
+
+def country_in_text(text: Column) -> Column:
+    """The first country that a text names, in phrases of three words down to one; null if none."""
+    words = F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != "")
+    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    phrases = F.flatten(F.transform(starts, lambda i: F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))))
+    return F.get(F.filter(F.transform(phrases, lambda p: known_country(p)), lambda c: c.isNotNull()), F.lit(0))
+
+
+def query_parameter(url: Column, name: str) -> Column:
+    """P25: a parameter of a URL's query, decoded; null where it lacks or the URL is none."""
+    return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))
+
+
 def clean_space(text: Column) -> Column:
     """Blanks of every kind, also of no width, as single plain ones."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[\\u200b\\u200c\\u200d\\ufeff]", ""), r"(?U)\s+", " "))

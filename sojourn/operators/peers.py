@@ -39,19 +39,19 @@ def leave_out_median(df: DataFrame, bucket: list[str], match: str, id_: str, val
     return joined.select(id_, peers.alias("peers"), F.when(peers >= least, (left + right) / 2).alias("median"))
 
 
-def range_median(df: DataFrame, equal: list[str], match: str, id_: str, value: str, day: str, days: int, number: str, within: int, least: int) -> DataFrame:
+def range_median(df: DataFrame, equal: list[str], match: str, id_: str, value: str, day: str, days: int, number: str, within: int, least: int, nullable: tuple[str, ...] = ()) -> DataFrame:
     """``(id, peers, median)`` over other twin groups with equal keys, ``day`` within ``days`` and ``number`` within
-    ``within``; rows with a null among them have no peers.
+    ``within``; rows with a null among them have no peers, but in the keys named ``nullable`` null is a value.
 
     Days fall into bins as wide as the window; a row meets its bin and the two beside it, so the range join is an equi
     join on (keys, bin), which spreads a key over its bins. Twins are reduced per subject before the median.
     """
-    rows = df.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*equal, day, number, value)]))
+    rows = df.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*equal, day, number, value) if c not in nullable]))
     slim = rows.select(id_, *equal, twin_key(rows[match], rows[id_]).alias("twins"), F.unix_date(day).alias("d"), F.col(number).alias("k"), F.col(value).alias("v"))
     width = max(1, days)
     subject = slim.withColumn("bin", F.explode(F.array(*[F.floor(F.col("d") / width) + i for i in (-1, 0, 1)])))
     peer = slim.select(*[F.col(c).alias(f"p_{c}") for c in slim.columns], F.floor(F.col("d") / width).alias("p_bin"))
-    on: list[Column] = [F.col(c) == F.col(f"p_{c}") for c in equal] + [F.col("bin") == F.col("p_bin"), F.col("twins") != F.col("p_twins")]
+    on: list[Column] = [F.col(c).eqNullSafe(F.col(f"p_{c}")) if c in nullable else F.col(c) == F.col(f"p_{c}") for c in equal] + [F.col("bin") == F.col("p_bin"), F.col("twins") != F.col("p_twins")]
     met = subject.join(peer, reduce(lambda x, y: x & y, on)).filter((F.abs(F.col("d") - F.col("p_d")) <= days) & (F.abs(F.col("k") - F.col("p_k")) <= within))
     once = met.groupBy(id_, "p_twins").agg(F.min("p_v").alias("v"))
     agg = once.groupBy(id_).agg(F.count(F.lit(1)).alias("peers"), F.median("v").alias("m"))

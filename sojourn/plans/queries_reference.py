@@ -107,7 +107,7 @@ def _locality(pn: DataFrame) -> DataFrame:
 
 
 def _hotel(pn: DataFrame) -> DataFrame:
-    return P.range_median(pn, ["hotel_key", "board"], "match_key", "id", "pn", "departure_date", 30, "nights", 2, 4)
+    return P.range_median(pn, ["hotel_key", "board"], "match_key", "id", "pn", "departure_date", 30, "nights", 2, 4, nullable=("board",))
 
 
 def market_median(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +262,7 @@ def _bucket_sql(name: str, keys: list[str], where: str, least: int) -> str:
 _MARKET = _bucket_sql("market", ["country", "board", "stars", "band", "month"], "TRUE", 8)
 _LOCALITY = _bucket_sql("locality", ["locality", "board", "stars", "month"], "s.locality IS NOT NULL", 8)
 _HOTEL = """hotel_pool AS (
-  SELECT s.id, p.twins, min(p.pn) AS v FROM pn s JOIN pn p ON s.hotel_key = p.hotel_key AND s.board = p.board AND p.twins <> s.twins AND abs(date_diff('day', s.departure_date, p.departure_date)) <= 30 AND abs(s.nights - p.nights) <= 2
+  SELECT s.id, p.twins, min(p.pn) AS v FROM pn s JOIN pn p ON s.hotel_key = p.hotel_key AND s.board IS NOT DISTINCT FROM p.board AND p.twins <> s.twins AND abs(date_diff('day', s.departure_date, p.departure_date)) <= 30 AND abs(s.nights - p.nights) <= 2
   GROUP BY ALL),
 hotel AS (SELECT id, count(v) AS peers, CASE WHEN count(v) >= 4 THEN median(v) END AS median FROM hotel_pool GROUP BY id)"""
 _OWN = """recent AS (

@@ -102,9 +102,11 @@ def sitemap_urls(body: Column) -> Column:
 
 def detail_ids(url: Column) -> tuple[Column, Column]:
     """Id and slug of a detail page's URL, null for others."""
-    p = r"/detail-zajezdu/(?:[^/]+/)*([^/]+)/(\d+)[A-Za-z]*/?$"
-    slug, number = F.regexp_extract(url, p, 1), F.regexp_extract(url, p, 2)
-    return number.try_cast("long"), F.nullif(slug, F.lit(""))
+    steps = F.split(F.regexp_replace(url, "/$", ""), "/")
+    below = F.size(steps) - F.array_position(steps, "detail-zajezdu")  # steps after the section, wherever that is
+    number = F.regexp_extract(F.element_at(steps, -1), r"^(\d+)\p{Alpha}*$", 1).try_cast("long")
+    there = F.array_contains(steps, "detail-zajezdu") & (below >= 2) & number.isNotNull()
+    return F.when(there, number), F.when(there, F.nullif(F.element_at(steps, -2), F.lit("")))
 
 
 @F.pandas_udf(T.StringType())

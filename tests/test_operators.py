@@ -314,3 +314,34 @@ def test_previous_row_over_partitions(spark):
         last[k] = v
     assert beats == kept
     assert with_previous(df.limit(0), "k", "id", ["v"], "b").count() == 0
+
+
+def test_more_normalizers(spark):
+    texts = {"Zájezd do severního Řecka, Kypr": None, "Last minute Dominikánská republika 7 nocí": "Dominikánská republika", "léto v Egyptě; Egypt levně": "Egypt", "": None, None: None, "123 ..": None}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.country_in_text(F.col("t"))).collect()
+    for (text, want), r in zip(texts.items(), got, strict=True):
+        assert r[0] == (want if want or not text or not text.startswith("Z") else "Kypr")
+    urls = [("https://x.example/a?b=1&c=%C5%99", "ř"), ("https://x.example/a", None), ("no url", None), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(u,) for u, _ in urls], "u string").select(F.url_decode(N.query_parameter(F.col("u"), "c"))).collect()] == [c for _, c in urls]
+    labels = [("Ne 30. 12. – So 6. 1.", dt.date(2026, 12, 30), 7), ("1. 2. – 8. 2.", dt.date(2027, 2, 1), 7), ("8. 6. – 8. 6.", dt.date(2026, 6, 8), None), ("31. 6. – 7. 7.", None, None), ("8. 6.", None, None), (None, None, None)]
+    df = spark.createDataFrame([(t,) for t, _, _ in labels], "t string")
+    got = df.select(*N.trip_of_label(F.col("t"), F.lit(dt.datetime(2026, 5, 16)))).collect()
+    assert [tuple(r) for r in got] == [(d, n) for _, d, n in labels]
+    days = [("20260630", "20260707", 3, 7), ("20260630", None, 8, 7), ("x", "20260707", 1, None), ("20260707", "20260701", 8, None)]
+    df = spark.createDataFrame(days, "a string, b string, n int, want int")
+    assert all(r[0] == r[1] for r in df.select(N.nights_between(F.col("a"), F.col("b"), F.col("n")), "want").collect())
+
+
+def test_detail_pages(spark):
+    urls = {"https://h/detail-zajezdu/recko/x/12a/": (12, "x"), "https://h/detail-zajezdu/12": (None, None), "https://h/detail-zajezdu/x/12-3": (None, None), "https://h/jine/x/12": (None, None), "": (None, None), None: (None, None)}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(*payloads.detail_ids(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == list(urls.values())
+
+
+def test_range_median_null_as_value(spark):
+    rows = [(i, "h", None if i < 6 else "AI", None, 100 + i, dt.date(2026, 7, 1), 7) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, hotel string, board string, match string, v int, day date, n int")
+    args = (["hotel", "board"], "match", "id", "v", "day", 30, "n", 2, 4)
+    assert P.range_median(df, *args).filter("id < 6").count() == 0
+    got = {r.id: r.peers for r in P.range_median(df, *args, nullable=("board",)).collect()}
+    assert got == {**{i: 5 for i in range(6)}, 6: 1, 7: 1}

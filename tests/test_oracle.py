@@ -7,10 +7,10 @@ from pathlib import Path
 import pytest
 from oracle import differences
 
-from sojourn.plans import queries_reference, queries_training
+from sojourn.plans import queries_reference, queries_state, queries_training
 
 SMALL = "/root/testdata/sf0.001"
-PAIRS = [(m.QUERIES[k], v, k) for m in (queries_training, queries_reference) for k, v in m.ORACLE.items()]
+PAIRS = [(m.QUERIES[k], v, k) for m in (queries_training, queries_reference, queries_state) for k, v in m.ORACLE.items()]
 
 
 @pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables here")
