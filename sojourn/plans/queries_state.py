@@ -7,13 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sojourn.functions import labels as L
 from sojourn.functions import normalize as N
 from sojourn.operators import criteria as C
 from sojourn.operators import history as H
 from sojourn.operators import ingest as I
 from sojourn.operators.view import View
-from sojourn.plans.queries_reference import NOW, _offers, _priced, _prices
-from sojourn.session import table
+from sojourn.plans.queries_reference import _LADDER, NOW, _ladder, _offers, _priced, _prices
+from sojourn.session import cut, table
 
 #: A day in the past: what was known until then is the state, what was seen since then comes in.
 THEN = dt.datetime(2026, 4, 1, tzinfo=dt.timezone.utc)
@@ -112,7 +113,19 @@ def compact_terms(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("raw_id", N.compact_date(F.col("check_in_date")).alias("day"), N.nights_between(F.col("check_in_date"), F.col("check_out_date"), F.col("days_count")).alias("nights"))
 
 
-QUERIES = {f.__name__: f for f in (upserted_offers, missed_offers, due_snapshots, told_again, view_offers, cheapest_packages, offer_history, facet_places, run_states, last_runs, label_terms, compact_terms)}
+def offer_labels(spark: SparkSession, d: str) -> DataFrame:
+    """What people read of an offer and its discount."""
+    priced = cut(_priced(spark, d, "omnibus_lowest_price"))
+    rows = priced.join(_ladder(spark, d, priced), "id")
+    pct, o = F.col("real_pct"), F.col
+    return rows.select(
+        "id", N.grouped_thousands(o("price")).alias("price"), L.saving(pct, True).alias("in_message"), L.saving(pct, False).alias("on_page"), L.tone(pct).alias("tone"),
+        L.reference_label(o("reference"), o("locality"), o("country")).alias("against"), L.term_range(o("departure_date"), o("nights"), F.lit(NOW)).alias("term"), L.nights_label(o("nights")).alias("nights"),
+        L.board_label(o("board")).alias("board"), L.departure_label(o("departure_airport"), o("transport")).alias("departure"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (upserted_offers, missed_offers, due_snapshots, told_again, view_offers, cheapest_packages, offer_history, facet_places, run_states, last_runs, label_terms, compact_terms, offer_labels)}
 
 _LAST = "latest AS (SELECT offer_id, arg_max(price_per_person, id) AS price FROM price_snapshots GROUP BY offer_id)"
 _RUNS = "runs AS (SELECT event_id AS id, user_id AS source, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, ts AS started_at, event_type FROM events)"
@@ -177,4 +190,15 @@ WITH days AS (
   SELECT raw_id, days_count, CASE WHEN regexp_full_match(check_in_date, '\d{8}') THEN CAST(try_strptime(check_in_date, '%Y%m%d') AS DATE) END AS a, CASE WHEN regexp_full_match(check_out_date, '\d{8}') THEN CAST(try_strptime(check_out_date, '%Y%m%d') AS DATE) END AS b
   FROM invia_terms)
 SELECT raw_id, a AS day, CASE WHEN coalesce(b - a, days_count - 1) > 0 THEN CAST(coalesce(b - a, days_count - 1) AS INTEGER) END AS nights FROM days""",
+    "offer_labels": f"""
+WITH {_LADDER}
+SELECT p.id, replace(format('{{:,}}', p.price), ',', ' ') AS price, CASE WHEN real_pct >= 0 THEN '−' || real_pct || ' %' WHEN real_pct < 0 THEN '+' || -real_pct || ' %' END AS in_message,
+       CASE WHEN real_pct > 0 THEN '−' || real_pct || ' %' WHEN real_pct <= 0 THEN '+' || -real_pct || ' %' END AS on_page,
+       CASE WHEN real_pct IS NULL THEN 'none' WHEN real_pct <= 0 THEN 'up' WHEN real_pct >= 15 THEN 'good' ELSE 'mid' END AS tone,
+       CASE reference WHEN 'own' THEN '30denní medián' WHEN 'omnibus' THEN 'Omnibus 30denní min.' WHEN 'hotel' THEN 'tento hotel' WHEN 'locality' THEN coalesce(locality, 'lokalita') WHEN 'market' THEN coalesce(country, 'trh') END AS against,
+       CASE WHEN departure_date IS NULL THEN 'volný termín' ELSE strftime(departure_date, '%d.%m') || CASE WHEN nights IS NULL THEN '' ELSE ' – ' || strftime(departure_date + nights, '%d.%m') END || CASE WHEN year(departure_date) <> 2026 THEN ' ' || year(departure_date) ELSE '' END END AS term,
+       CASE WHEN nights IS NULL THEN '' WHEN nights = 1 THEN '1 noc' WHEN nights BETWEEN 2 AND 4 THEN nights || ' noci' ELSE nights || ' nocí' END AS nights,
+       CASE board WHEN 'AI' THEN 'All inclusive' WHEN 'UAI' THEN 'Ultra all inclusive' WHEN 'FB' THEN 'Plná penze' WHEN 'HB' THEN 'Polopenze' WHEN 'BB' THEN 'Snídaně' WHEN 'none' THEN 'Bez stravy' WHEN 'unknown' THEN '—' WHEN '' THEN '—' ELSE board END AS board,
+       CASE WHEN trim(departure_airport) <> '' THEN upper(departure_airport) WHEN transport = 'own' THEN 'vlastní' WHEN transport = 'bus' THEN 'bus' ELSE '—' END AS departure
+FROM priced p JOIN ladder l ON l.id = p.id""",
 }

@@ -11,6 +11,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from sojourn.functions import labels
 from sojourn.functions import normalize as N
 from sojourn.operators import criteria as C
 from sojourn.operators import history as H
@@ -18,7 +19,7 @@ from sojourn.operators import ingest as I
 from sojourn.operators import peers as P
 from sojourn.operators.ranks import number_rows, values_at_ranks, with_previous
 from sojourn.operators.view import View
-from sojourn.sources import lookups, packages, payloads
+from sojourn.sources import lookups, packages, payloads, tours
 from sojourn.streaming.heartbeat import heartbeat_stream
 
 T0 = dt.datetime(2026, 5, 1)
@@ -345,3 +346,27 @@ def test_range_median_null_as_value(spark):
     assert P.range_median(df, *args).filter("id < 6").count() == 0
     got = {r.id: r.peers for r in P.range_median(df, *args, nullable=("board",)).collect()}
     assert got == {**{i: 5 for i in range(6)}, 6: 1, 7: 1}
+
+
+def test_tours_and_hotels(spark):
+    hotel = {"id": 7, "name": "Modrá", "starsCount": 4, "breadcrumbs": {"country": "Řecko", "destination": "Kréta"}}
+    price = {"adultPrice": 9990, "total": 19980, "discount": 28280, "lowestPrice": 8990.4}
+    tour = {"nightsCount": 7, "transportType": 1, "date": {"from": "2026-07-01T00:00:00"}, "price": price, "rooms": [{"meal": "Polopenze"}]}
+    body = {"tours": [{"detailUrl": "/a/b", "hotel": hotel, "tour": tour}, {"detailUrl": "/other", "hotel": hotel, "tour": tour}, {"detailUrl": "/x", "hotel": {"name": "Bez ceny"}, "tour": {"price": {}}}, {"hotel": hotel, "tour": tour}, {"detailUrl": "https://y/z", "hotel": {"name": "Sám"}, "tour": {"price": {"adultPrice": "100"}}}]}
+    df = spark.createDataFrame([(json.dumps(body),), ("no json",), (None,), ("{}",)], "body string")
+    got = {r.title: r for r in tours.tour_offers(df, "body", "s", "https://h.example").collect()}
+    r = got["Modrá"]
+    assert (r.url, r.price_per_person, r.price_total, r.claimed_original_price, r.claimed_discount_pct, r.omnibus_lowest_price, r.board, r.transport, r.nights) == ("https://h.example/a/b", 9990, 19980, 24130, 59.0, 8990, "HB", "flight", 7)
+    assert set(got) <= {"Modrá", "Sám"} and r.departure_date == dt.date(2026, 7, 1) and r.country == "Řecko"
+    hotels = {"hotels": [{"hotelId": 3, "title": " Vila ", "noStars": 0, "priceInfo": {"regular": {"amount": 4999.5}, "group": {"amount": 9999}}, "destinations": [{"name": "Egypt"}, {"name": " Hurghada "}], "additionalInfo": {"boarding": "all inclusive", "transport": {"label": "letecky"}}}, {"hotelId": 3, "title": "zase", "priceInfo": {"regular": {"amount": 1}}}, {"hotelId": 4, "title": "", "priceInfo": {"regular": {"amount": 1}}}, {"hotelId": 5, "title": "jinde", "priceInfo": {"regular": {"amount": 7}}, "destinations": [{"name": "Nikde"}]}]}
+    df = spark.createDataFrame([(json.dumps(hotels), "https://h/list")], "body string, url string")
+    got = {r.source_offer_key: r for r in tours.hotel_offers(df, "body", "d", "url").collect()}
+    assert set(got) == {"3", "5"} and got["5"].country is None and got["5"].locality is None
+    r = got["3"]
+    assert (r.title, r.country, r.locality, r.stars, r.price_per_person, r.price_total, r.board, r.transport, r.url, r.departure_date) == ("Vila", "Egypt", "Hurghada", None, 5000, 9999, "AI", "flight", "https://h/list", None)
+
+
+def test_sparkline_points(spark):
+    cases = [([100, 200, 150], "3,19 32,3 61,11"), ([5, 5], "3,11 61,11"), ([7], "61,11"), ([], None), (None, None), ([0, 1, 3, 3], "3,19 22.3,13.7 41.7,3 61,3")]
+    got = spark.createDataFrame([(p,) for p, _ in cases], "p array<int>").select(labels.sparkline_points(F.col("p"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
