@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,12 @@ from pyspark.sql import types as T
 
 from sojourn.session import cut
 
-# Words of titles that don't tell hotels apart, and marketing phrases that sources add.
-NOISE_WORDS = ("hotel", "aparthotel", "the", "resort", "spa", "premium")
-NOISE_PHRASES = ("all inclusive", "adults only")
-# Last words by which the hotels of one family differ.
+# Fixed values for words that too few rows have to tell by :func:`word_roles`: words of titles that don't tell hotels
+# apart, and last words by which the hotels of one family differ.
+NOISE_WORDS = ("hotel", "aparthotel", "the", "resort", "spa", "premium", "all", "inclusive", "adults", "only")
 SIBLINGS = ("annex", "ii", "iii", "villas", "junior", "select")
+#: Share of the rows, and number of rows, from which on a word's role is taken from the data.
+COMMON, ENOUGH = 0.002, 200
 _MARKS = "".join(chr(c) for c in range(0x0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] != chr(c))
 _BARE = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKS)
 
@@ -36,7 +38,7 @@ def bare(text: Column) -> Column:
 
 
 def _features(df: DataFrame, key: str, source: str, title: str, place: str, date: str, nights: str) -> DataFrame:
-    """``(id, source, words, cut, place, date, nights)`` of rows with a date."""
+    """``(id, source, words, cut, place, date, nights)`` of rows with a date; ``words`` are all words of the name."""
     t = F.coalesce(bare(df[title]), F.lit(""))
     placeholder = t.rlike(r"^hotel \d+$")
     t = F.regexp_replace(t, r"\(ex\.? [^)]*\)?|[★*]+| by [a-z]+$|\b[1-5] ?\*", " ")
@@ -45,9 +47,7 @@ def _features(df: DataFrame, key: str, source: str, title: str, place: str, date
     after = F.regexp_extract(t, r"\S, (\S.*)$", 1)
     name = F.regexp_replace(F.regexp_replace(t, r"^.*\S - (?=\S)", ""), r", \S.*$", "")
     clipped = name.rlike(r"(…|\.)(\s|$)")
-    for phrase in NOISE_PHRASES:
-        name = F.replace(name, F.lit(phrase), F.lit(" "))
-    words = F.filter(F.split(F.regexp_replace(name, r"[^a-z0-9]+", " "), " "), lambda w: (w != "") & ~w.isin(*NOISE_WORDS) & ~w.rlike(r"^\d$"))
+    words = F.filter(F.split(F.regexp_replace(name, r"[^a-z0-9]+", " "), " "), lambda w: (w != "") & ~w.rlike(r"^\d$"))
     where = F.coalesce(bare(df[place]), F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
     where = F.trim(F.regexp_replace(F.regexp_replace(where, r"^.* / ", ""), r"\(letovisko\)", ""))
     return df.filter(df[date].isNotNull()).select(
@@ -56,6 +56,36 @@ def _features(df: DataFrame, key: str, source: str, title: str, place: str, date
     )
 
 
+def word_roles(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """``(noise, siblings)``: words that don't tell hotels apart, and last words that tell the hotels of a family apart.
+
+    Told for words that ``COMMON`` of the rows and ``ENOUGH`` rows have, so at most some hundred times a name's words
+    reach the driver. A source writes noise in its own manner, so rows with it hardly ever have a row of another source
+    with the same words at the same place, day and nights; a word is noise if that is less than a quarter as frequent
+    as among all rows. A last word is a sibling's if what is left without it is mostly a name at the same place itself.
+    Rarer words have the roles of ``NOISE_WORDS`` and ``SIBLINGS``.
+    """
+    spot = F.element_at(F.split("place", " "), -1)
+    keyed = rows.select("source", F.array_distinct("words").alias("words"), F.get("words", F.size("words") - 1).alias("last"), F.xxhash64(F.array_sort("words")).alias("name"), spot.alias("spot"), F.col("date"), F.col("nights"))
+    keyed = keyed.filter(F.size("words") > 0)
+    stays = keyed.groupBy("name", "spot", "date", "nights").agg((F.min("source") != F.max("source")).cast("int").alias("met"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
+    each = stays.select("n", "met", F.explode("words").alias("word")).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("met")).alias("met"))
+    total, met = stays.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("met")), F.lit(0))).first()
+    least = max(ENOUGH, COMMON * total)
+    common = {r["word"]: r for r in each.filter(F.col("n") >= least).collect()}
+    noise = [w for w, r in common.items() if r["met"] * total * 4 < met * r["n"]] if met >= ENOUGH else []
+    judged = set(common) if met >= ENOUGH else set()
+    noise += [w for w in NOISE_WORDS if w not in judged]
+    clean = rows.select(F.filter("words", lambda w: ~w.isin(*noise)).alias("words"), spot.alias("spot")).filter(F.size("words") > 0)
+    names = clean.select(F.xxhash64(F.array_sort("words")).alias("name"), "spot").distinct()
+    cut_off = clean.filter(F.size("words") > 1).select(F.get("words", F.size("words") - 1).alias("last"), F.xxhash64(F.array_sort(F.slice("words", 1, F.size("words") - 1))).alias("name"), "spot")
+    known = names.withColumn("known", F.lit(1)).hint("shuffle_merge")
+    lasts = cut_off.join(known, ["name", "spot"], "left").groupBy("last").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"))
+    told = lasts.filter(F.col("n") >= least).collect()
+    siblings = [r["last"] for r in told if 2 * r["known"] >= r["n"]]
+    return noise, siblings + [w for w in SIBLINGS if w not in {r["last"] for r in told}]
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b, each once: rows whose days and nights are compatible and that share a block.
 
@@ -131,7 +161,7 @@ def _abbreviates(short: str, long: str) -> bool:
     return all(c in rest for c in short)
 
 
-def compare_names(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> str:
+def compare_names(a: list[str], b: list[str], cut_a: bool, cut_b: bool, siblings: tuple[str, ...] = SIBLINGS) -> str:
     """``same``, ``close``, ``cut``, ``far``, ``other`` or ``unknown``; every word must find its partner, in any order."""
     if not a or not b:
         return "unknown"
@@ -146,7 +176,7 @@ def compare_names(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> str:
     if len(a) == 1 or len(b) == 1:  # run together, perhaps with a slip
         x, y = "".join(a), "".join(b)
         short, long, was = (x, y, cut_a) if len(x) < len(y) else (y, x, cut_b)
-        if was and len(short) >= 5 and long.startswith(short) and not long.endswith(SIBLINGS):
+        if was and len(short) >= 5 and long.startswith(short) and not long.endswith(siblings):
             return "cut"
         if x.startswith(y) or y.startswith(x):
             return "other"
@@ -172,20 +202,23 @@ def compare_places(a: str | None, b: str | None) -> str:
     return "close" if min(len(p), len(q)) >= 4 and edits(p, q, 2) <= 2 else "other"
 
 
-@F.pandas_udf(T.IntegerType())
-def _name_level(a: pd.Series, b: pd.Series, cut_a: pd.Series, cut_b: pd.Series) -> pd.Series:
-    """Place of the level among those of names, -1 for other names; -2 where the caller knows it (null names)."""
-    places = {v: i for i, v in enumerate(LEVELS["name"])} | {"other": -1}
-    seen: dict[tuple, int] = {}
-    out = []
-    for key in zip(a, b, cut_a, cut_b, strict=True):
-        if key[0] is None:
-            out.append(-2)
-            continue
-        if key not in seen:  # names recur on many days
-            seen[key] = places[compare_names(key[0].split(), key[1].split(), bool(key[2]), bool(key[3]))]
-        out.append(seen[key])
-    return pd.Series(out, dtype="int32")
+def _name_levels(siblings: tuple[str, ...]) -> Callable[..., Column]:
+    @F.pandas_udf(T.IntegerType())
+    def name_level(a: pd.Series, b: pd.Series, cut_a: pd.Series, cut_b: pd.Series) -> pd.Series:
+        """Place of the level among those of names, -1 for other names; -2 where the caller knows it (null names)."""
+        places = {v: i for i, v in enumerate(LEVELS["name"])} | {"other": -1}
+        seen: dict[tuple, int] = {}
+        out = []
+        for key in zip(a, b, cut_a, cut_b, strict=True):
+            if key[0] is None:
+                out.append(-2)
+                continue
+            if key not in seen:  # names recur on many days
+                seen[key] = places[compare_names(key[0].split(), key[1].split(), bool(key[2]), bool(key[3]), siblings)]
+            out.append(seen[key])
+        return pd.Series(out, dtype="int32")
+
+    return name_level
 
 
 @F.pandas_udf(T.IntegerType())
@@ -204,7 +237,7 @@ def _place_level(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
-def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, rows: DataFrame, siblings: tuple[str, ...] = SIBLINGS) -> DataFrame:
     """``(id_a, id_b, source_a, source_b, name, place, term, unnamed, stay)``: levels of each candidate as places among
     ``LEVELS``; pairs of other names are no candidates. Equal names and places are settled without Python."""
     slim = rows.select("id", "source", F.array_join("words", " ").alias("name"), "cut", "place", "date", "nights")
@@ -215,7 +248,7 @@ def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     placed = F.when(F.col("place_a").isNull() | F.col("place_b").isNull(), at["place"]["unknown"]).when(F.col("place_a") == F.col("place_b"), at["place"]["same"])
     pairs = pairs.withColumn("known", known).withColumn("placed", placed)
     ask = lambda given, c: F.when(F.col(given).isNull(), F.col(c))
-    levels = pairs.withColumn("n", _name_level(ask("known", "name_a"), ask("known", "name_b"), "cut_a", "cut_b")).withColumn("p", _place_level(ask("placed", "place_a"), ask("placed", "place_b")))
+    levels = pairs.withColumn("n", _name_levels(siblings)(ask("known", "name_a"), ask("known", "name_b"), "cut_a", "cut_b")).withColumn("p", _place_level(ask("placed", "place_a"), ask("placed", "place_b")))
     days, gap = F.datediff("date_a", "date_b") != 0, F.abs(F.col("nights_a") - F.col("nights_b"))
     t = at["term"]
     term = F.when(gap.isNull() & ~days, t["night unknown"]).when(gap.isNull(), t["near, night unknown"]).when((gap == 0) & ~days, t["same"]).when((gap > 0) & days, t["both near"]).otherwise(t["near"])
@@ -309,11 +342,14 @@ def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: s
     Only the four attributes count. A row without a date is in no pair; unknown nights or place are compatible with
     anything but prove nothing, and an unknown name (a placeholder title, or nothing left of it) is held against a
     pair. Names compare word by word: slips of one letter or two, other order, words run together, cut and abbreviated
-    words are forgiven, a word more or another word is another hotel and no candidate. Repeated ids count once; equal
+    words are forgiven, a word more or another word is another hotel and no candidate, but for words that :func:`word_roles`
+    finds to be noise. Repeated ids count once; equal
     rows under different ids pair like any others. An empty table gives an empty result.
     """
-    rows = cut(_features(df, key, source, title, place, date, nights).dropDuplicates(["id"]))
-    scored = cut(_scored(cut(_compared(_candidates(rows), rows))))
+    raw = cut(_features(df, key, source, title, place, date, nights).dropDuplicates(["id"]))
+    noise, siblings = word_roles(raw)
+    rows = raw.withColumn("words", F.filter("words", lambda w: ~w.isin(*noise)))
+    scored = cut(_scored(cut(_compared(_candidates(rows), rows, tuple(siblings)))))
     heads = groups_of(scored.filter("source_a = source_b and u > 2"))
     pairs = scored.filter("source_a <> source_b")
     for me in ("a", "b"):

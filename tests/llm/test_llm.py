@@ -106,6 +106,25 @@ def test_groups_of_chained_copies(spark):
     assert M.groups_of(df.limit(0)).count() == 0
 
 
+def test_roles_of_words_come_from_the_rows(spark):
+    """One source writes "foo" now and then, all of them list a hotel's "beta" beside it: no list names either word."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(700):
+        base = [f"{rng.choice('bdkmtr')}{rng.choice('aeiou')}x{i}q", "coral"]
+        for last in ([], ["beta"]):
+            day = DAY + dt.timedelta(days=rng.randrange(90))
+            for source in "abc":
+                words = base + last
+                rows.append((source, ["foo", *words] if source == "a" and rng.random() < 0.7 else words, f"place {i % 40}", day, 7))
+    df = spark.createDataFrame(rows, "source string, words array<string>, place string, date date, nights int")
+    noise, siblings = M.word_roles(df)
+    assert "foo" in noise and "coral" not in noise and "beta" not in noise
+    assert "beta" in siblings and "coral" not in siblings
+    noise, siblings = M.word_roles(df.limit(0))
+    assert set(noise) == set(M.NOISE_WORDS) and set(siblings) == set(M.SIBLINGS)
+
+
 def test_matching_broadcasts_nothing(spark, capsys):
     """However small a side looks, no join of the matching may broadcast it: what is small compressed may not be so in memory."""
     seen = []
