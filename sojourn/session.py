@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder: later stages survive the loss of an executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Removes what :func:`cut` wrote for ``df``; nothing computed later may need it (what was cut from it doesn't)."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -370,3 +370,18 @@ def test_sparkline_points(spark):
     cases = [([100, 200, 150], "3,19 32,3 61,11"), ([5, 5], "3,11 61,11"), ([7], "61,11"), ([], None), (None, None), ([0, 1, 3, 3], "3,19 22.3,13.7 41.7,3 61,3")]
     got = spark.createDataFrame([(p,) for p, _ in cases], "p array<int>").select(labels.sparkline_points(F.col("p"))).collect()
     assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_released_rows_leave_the_shared_folder(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from sojourn.session import checkpoint_dir, cut, release
+
+    there = lambda: {p.name for p in Path(urlparse(checkpoint_dir(spark)).path).glob("rdd-*")}
+    before = there()
+    first = cut(spark.range(10))
+    second = cut(first.withColumn("x", F.col("id") * 2))
+    assert len(there() - before) == 2
+    release(first)
+    assert len(there() - before) == 1 and second.agg(F.sum("x")).first()[0] == 90
