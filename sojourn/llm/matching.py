@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sojourn.session import cut
+from sojourn.session import cut, release
 
 # Fixed values for words that too few rows have to tell by :func:`word_roles`: words of titles that don't tell hotels
 # apart, and last words by which the hotels of one family differ.
@@ -278,11 +278,14 @@ def _scored(levels: DataFrame) -> DataFrame:
 def groups_of(links: DataFrame) -> DataFrame:
     """``(id, head)``: the least id of each record's connected group, by handing heads on until none changes."""
     both = cut(links.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(links.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))))
-    heads = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("head"))
+    heads, held = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("head")), None
     while True:
         near = both.join(heads.select(F.col("x").alias("y"), F.col("head").alias("theirs")).hint("shuffle_merge"), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
         after = cut(heads.join(near.hint("shuffle_merge"), "x").select("x", F.least("head", "theirs").alias("head"), (F.col("theirs") < F.col("head")).alias("moved")))
         heads = after.select("x", "head")
+        if held is not None:
+            release(held)
+        held = after
         if after.filter("moved").isEmpty():
             return heads.withColumnRenamed("x", "id")
 
@@ -315,7 +318,7 @@ def propagate(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 300,
         state = state.repartition(f"id_{me}").withColumn(f"rival_{me}", F.min(f"group_{other}").over(of_factor) != F.max(f"group_{other}").over(of_factor))
     state = cut(state.withColumn("moved", F.lit(0.0)))
     calm = state.filter("not (rival_a or rival_b)")
-    moving = state.filter("rival_a or rival_b")
+    moving, held = state.filter("rival_a or rival_b"), None
     for _ in range(0, most_rounds, STRIDE):
         for _ in range(STRIDE):
             after = factors(factors(moving, "a", "b"), "b", "a")
@@ -324,6 +327,9 @@ def propagate(pairs: DataFrame, tolerance: float = 1e-3, most_rounds: int = 300,
             after = after.withColumn("moved", F.greatest(F.abs(F.col("new_a") - F.col("to_a")), F.abs(F.col("new_b") - F.col("to_b"))))
             moving = after.drop("to_a", "to_b").withColumnsRenamed({"new_a": "to_a", "new_b": "to_b"})
         moving = cut(moving)
+        if held is not None:
+            release(held)  # the rounds before aren't needed any more
+        held = moving
         moved = moving.agg(F.max("moved")).first()[0]
         if moved is None or moved < tolerance:
             break
@@ -349,7 +355,10 @@ def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: s
     raw = cut(_features(df, key, source, title, place, date, nights).dropDuplicates(["id"]))
     noise, siblings = word_roles(raw)
     rows = raw.withColumn("words", F.filter("words", lambda w: ~w.isin(*noise)))
-    scored = cut(_scored(cut(_compared(_candidates(rows), rows, tuple(siblings)))))
+    compared = cut(_compared(_candidates(rows), rows, tuple(siblings)))
+    scored = cut(_scored(compared))
+    release(raw)
+    release(compared)
     heads = groups_of(scored.filter("source_a = source_b and u > 2"))
     pairs = scored.filter("source_a <> source_b")
     for me in ("a", "b"):
