@@ -121,7 +121,7 @@ def mix(documents: DataFrame, targets: DataFrame, shard_tokens: int = 20_000_000
     """
     spark = documents.sparkSession
     goals = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text", F.sha2("text", 256).alias("h")).join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
+    wanted = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text", F.unhex(F.sha2("text", 256)).alias("h")).join(goals.select("source"), "source", "left_semi").filter("text is not null and text <> ''")
     # Texts are counted where they lie; only ids, sizes and fingerprints are shuffled to find texts fetched again.
     counted = count_tokens(wanted, "text", ["doc_id", "source", "h"], path).filter("tokens > 0")
     sized = cut(counted.groupBy("source", "h").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens")).drop("h"))
