@@ -354,10 +354,11 @@ def match_stays(df: DataFrame, key: str = "id", source: str = "source", title: s
     """
     raw = cut(_features(df, key, source, title, place, date, nights).dropDuplicates(["id"]))
     noise, siblings = word_roles(raw)
-    rows = raw.withColumn("words", F.filter("words", lambda w: ~w.isin(*noise)))
+    rows = cut(raw.withColumn("words", F.filter("words", lambda w: ~w.isin(*noise))))
+    release(raw)
     compared = cut(_compared(_candidates(rows), rows, tuple(siblings)))
     scored = cut(_scored(compared))
-    release(raw)
+    release(rows)
     release(compared)
     heads = groups_of(scored.filter("source_a = source_b and u > 2"))
     pairs = scored.filter("source_a <> source_b")
